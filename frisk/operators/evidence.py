@@ -117,19 +117,28 @@ def counterfactual(cases: DataFrame, scorer: Scorer, reference: dict[str, float]
             F.when(better, F.col("b.q")).otherwise(F.col("p")).alias("p"),
             (better & (F.col("b.q") >= threshold) & (F.size("chosen") < len(GROUPS) - 1)).alias("open"),
             F.when(better, F.concat("chosen", F.array("b.g"))).otherwise(F.col("chosen")).alias("chosen"))
+    # prune from the last chosen group back: score every subset of the (few) chosen groups once
     d = d.withColumn("found", (F.col("base") >= threshold) & (F.col("p") < threshold))
-    for step in range(len(GROUPS), 0, -1):
-        g = F.get(F.col("chosen"), F.lit(step - 1))
-        d = d.withColumn("g", g)
-        without = F.when(F.col("g").isNotNull(), F.expr("mask & ~shiftleft(1, coalesce(g, 0))")).otherwise(F.col("mask"))
-        d = d.withColumn("try", without)
-        d = scorer(_with_mask(d, F.col("try"), reference)).select(
-            "seq", *keep, "found", "try", "g", F.col("fraud_proba").alias("q"))
-        drop = F.col("found") & F.col("g").isNotNull() & (F.col("q") < threshold)
-        d = d.withColumns({"mask": F.when(drop, F.col("try")).otherwise(F.col("mask")),
-                           "p": F.when(drop, F.col("q")).otherwise(F.col("p"))})
+    bits = F.transform("chosen", lambda g: F.call_function("shiftleft", F.lit(1), g))
+    subset = lambda acc, b: F.concat(acc, F.transform(acc, lambda m: m.bitwiseOR(b)))
+    subsets = F.aggregate(bits, F.array(F.lit(0)), subset)
+    tried = d.withColumn("try", F.explode(F.when(F.col("found"), subsets).otherwise(F.array(F.col("mask")))))
+    scored = scorer(_with_mask(tried, F.col("try"), reference)).select(
+        "seq", *keep, "found", F.struct("try", F.col("fraud_proba").alias("q")).alias("s"))
+    d = scored.groupBy("seq").agg(
+        F.map_from_entries(F.collect_list("s")).alias("probs"), *[F.first(c).alias(c) for c in (*keep, "found")])
+
+    def prune(state, bit):
+        less = state["mask"].bitwiseAND(F.bitwise_not(bit))
+        q = F.try_element_at(F.col("probs"), less)
+        return F.when(q < threshold, F.struct(less.alias("mask"), q.alias("p"))).otherwise(state)
+
+    bits = F.transform(F.reverse("chosen"), lambda g: F.call_function("shiftleft", F.lit(1), g))
+    end = F.aggregate(bits, F.struct(F.col("mask").alias("mask"), F.col("p").alias("p")), prune)
+    d = d.withColumn("end", F.when(F.col("found"), end).otherwise(F.struct(F.col("mask").alias("mask"), F.col("p").alias("p"))))
+    d = d.select("seq", "_own", "base", "chosen", "found", "end.*")
     labels = F.array(*[F.lit(name) for name, _ in GROUPS])
-    kept = F.filter("chosen", lambda g: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), g)) != 0)
+    kept = F.filter("chosen", lambda g: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), g)) != 0)
 
     changes = []
     for g, (_, names) in enumerate(GROUPS):
