@@ -35,18 +35,18 @@ CUSTOMER = T.StructType([
     T.StructField("account_open", T.TimestampType()),
 ])
 
-_FILL = {"type": F.lit("txn"), "beneficiary": F.lit(""), "card_bin": F.lit("?"), "label": F.lit(0)}
+_FILL = {"type": "txn", "beneficiary": "", "card_bin": "?", "label": 0}
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """Project any frame onto the canonical columns; absent ones get their default."""
+def canonical(df: DataFrame, *extra: str) -> DataFrame:
+    """Project any frame onto the canonical columns (and ``extra``); absent ones get their default."""
     cols = []
     for f in EVENT.fields:
         if f.name not in df.columns:
-            c = _FILL.get(f.name, F.lit(None))
+            c = F.lit(_FILL.get(f.name))
         elif f.name in _FILL:
-            c = F.coalesce(F.col(f.name), _FILL[f.name])
+            c = F.coalesce(F.col(f.name), F.lit(_FILL[f.name]))
         else:
             c = F.col(f.name)
         cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(cols)
+    return df.select(*cols, *extra)
