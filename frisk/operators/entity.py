@@ -24,7 +24,7 @@ def weight(t: Column, s: Settings) -> Column:
     return F.pow(F.lit(2.0), (t - ANCHOR_US) / (86400.0 * US * s.half_life_days))
 
 
-def _keys() -> Column:
+def entity_keys() -> Column:
     """(kind, key) pairs of a transaction; an absent payee gives none."""
     pairs = [
         F.struct(F.lit(kind).alias("kind"), F.coalesce(F.col(col), F.lit("" if kind == "beneficiary" else "?")).alias("key"))
@@ -62,7 +62,7 @@ def outcome_rows(txns: DataFrame, s: Settings = DEFAULT, confirms: DataFrame | N
 
 def entity_rows(outcomes: DataFrame) -> DataFrame:
     """``outcome_rows`` spread over the entities each one touches."""
-    return outcomes.select("seq", "cust_id", F.explode(_keys()).alias("p"), "t", "ord", "obs", "con", "inst").select(
+    return outcomes.select("seq", "cust_id", F.explode(entity_keys()).alias("p"), "t", "ord", "obs", "con", "inst").select(
         "seq", "cust_id", "p.*", "t", "ord", "obs", "con", "inst")
 
 
@@ -108,7 +108,7 @@ def running_prior(outcomes: DataFrame, settings: Settings = DEFAULT) -> DataFram
 
 
 def hot_entities(txns: DataFrame, s: Settings = DEFAULT) -> DataFrame | None:
-    pairs = txns.select(F.unix_micros("ts").alias("t"), F.explode(_keys()).alias("p")).select("t", "p.*")
+    pairs = txns.select(F.unix_micros("ts").alias("t"), F.explode(entity_keys()).alias("p")).select("t", "p.*")
     return hot_keys(pairs, ["kind", "key"], "t", s.hot_rows)
 
 
@@ -116,12 +116,20 @@ def smoothed(f: Column, n: Column, prior: Column, s: Settings) -> Column:
     return (f + prior * s.prior_strength) / (n + s.prior_strength)
 
 
-def entity_features(txns: DataFrame, settings: Settings = DEFAULT, confirms: DataFrame | None = None) -> DataFrame:
-    """(seq, running prior, ENTITY_COLUMNS) of every transaction, one row per seq."""
+def entity_features(txns: DataFrame, settings: Settings = DEFAULT, confirms: DataFrame | None = None,
+                    only: DataFrame | None = None) -> DataFrame:
+    """(seq, running prior, ENTITY_COLUMNS) of every transaction, one row per seq.
+
+    ``only`` (a frame of transactions) limits the result to those and the work to their entities.
+    """
     s = settings
     hot = hot_entities(txns, s)
     outcomes = outcome_rows(txns, s, confirms)
-    st = entity_state(entity_rows(outcomes), s, hot).filter(F.col("ord") == 1)
+    rows = entity_rows(outcomes)
+    if only is not None:
+        touched = only.select(F.explode(entity_keys()).alias("p")).select("p.*").distinct()
+        rows = rows.join(touched, ["kind", "key"], "left_semi")
+    st = entity_state(rows, s, hot).filter(F.col("ord") == 1)
     w = weight(F.col("t"), s)
     zero = F.lit(0.0)
     n, f = F.coalesce(F.col("w_n"), zero) / w, F.coalesce(F.col("w_f"), zero) / w
@@ -142,6 +150,8 @@ def entity_features(txns: DataFrame, settings: Settings = DEFAULT, confirms: Dat
     # the prior rides along in the same regrouping instead of a join of its own
     prior = running_prior(outcomes, s)
     parts = parts.select("*", F.lit(None).cast("double").alias("prior")).unionByName(prior, allowMissingColumns=True)
+    if only is not None:
+        parts = parts.join(only.select("seq"), "seq", "left_semi")
     wide = parts.groupBy("seq").agg(
         F.max("prior").alias("prior"), *[F.max(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in KINDS])
     p = F.col("prior")

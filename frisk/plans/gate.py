@@ -29,18 +29,23 @@ def let_through(label_known: Column | None = None, verified: Column | None = Non
 
 def run_gate(events: DataFrame, scorer: Scorer, threshold: float, customers: DataFrame | None = None,
              s: Settings = DEFAULT, max_passes: int = 60, accepted_rule: Column | None = None,
-             confirms: DataFrame | None = None) -> DataFrame:
+             confirms: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """Scored cases under the engine's own gate, plus ``accepted``.
 
+    Rows of ``events`` with a non-NULL ``settled`` column keep that decision (earlier batches).
     Raises when ``max_passes`` do not reach the fixpoint: a half-settled table is not a result.
     """
     rule = let_through() if accepted_rule is None else accepted_rule
-    entities = kept(entity_features(events.filter("type = 'txn'"), s, confirms))
-    open_events = events.withColumn("_accepted", F.when(F.col("type") == "txn", F.col("label") == 0))
+    entities = kept(entity_features(events.filter("type = 'txn'"), s, confirms) if entities is None else entities)
+    if "settled" not in events.columns:
+        events = events.withColumn("settled", F.lit(None).cast("boolean"))
+    start = F.coalesce("settled", F.col("label") == 0)
+    open_events = kept(events.withColumn("_accepted", F.when(F.col("type") == "txn", start)))
     done = None
     for _ in range(max_passes):
         rows = profile_features(open_events, customers, F.col("_accepted"), s).join(entities, "seq")
-        cases = kept(scored_cases(rows, scorer, threshold, s).withColumn("accepted", rule))
+        cases = scored_cases(rows, scorer, threshold, s).withColumn("accepted", F.coalesce("settled", rule))
+        cases = kept(cases)
         moved = cases.filter(F.col("accepted") != F.col("_accepted")).select("cust_id").distinct()
         moved = kept(moved)
         changing = moved.count()
