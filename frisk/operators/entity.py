@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from frisk.config import DEFAULT, ENTITY_COLUMNS, US, Settings
 from frisk.functions.expr import flag
-from frisk.operators.running import Fold, global_running, hot_keys, running, with_chunks
+from frisk.operators.running import CHUNK, Fold, global_running, hot_keys, running, with_chunks
 
 # fixed values: entity kind -> transaction column
 KINDS = {"merchant": "merchant_id", "bin": "card_bin", "device": "device_id", "beneficiary": "beneficiary"}
@@ -70,7 +70,8 @@ def entity_state(rows: DataFrame, s: Settings = DEFAULT, hot: DataFrame | None =
     """Running statistics of each (kind, key) strictly before each row of ``entity_rows``."""
     order = ["t", "ord", "seq"]
     chunked = hot is not None
-    r = with_chunks(rows, ["kind", "key"], "t", hot)
+    # one shuffle serves both window levels: (kind, key, customer) and (kind, key)
+    r = with_chunks(rows, ["kind", "key"], "t", hot).repartition("kind", "key", *([CHUNK] if chunked else []))
     w = weight(F.col("t"), s)
     r = r.withColumns({"w_obs": w * F.col("obs"), "w_bad": w * (F.col("con") + F.col("inst"))})
     mine = ["kind", "key", "cust_id"]
@@ -136,44 +137,46 @@ def entity_features(txns: DataFrame, settings: Settings = DEFAULT, confirms: Dat
     own_n = (F.col("own_obs") + F.greatest(zero, F.coalesce(F.col("own_lift"), zero))) / w
     own_f = F.col("own_bad") / w
     n_others = F.greatest(n - own_n, zero)
+    others_only = F.col("kind").isin("bin", "device")  # a customer's own fraud does not count against them here
     parts = st.select(
         "seq", "kind",
-        F.struct(
-            n.alias("n"), f.alias("f"),
-            n_others.alias("n_x"), F.least(F.greatest(f - own_f, zero), n_others).alias("f_x"),
-            (F.coalesce(F.col("w_n"), zero) / weight(F.col("touch_t"), s)).alias("touched_n"),
-            ((F.col("t") - F.col("first_t")) / (86400.0 * US)).alias("age"),
-            F.coalesce(F.col("fanout"), F.lit(0)).cast("double").alias("fanout"),
-            F.col("touch_t").isNotNull().alias("known"),
-        ).alias("v"),
+        F.when(others_only, n_others).otherwise(n).alias("n"),
+        F.when(others_only, F.least(F.greatest(f - own_f, zero), n_others)).otherwise(f).alias("f"),
+        (F.coalesce(F.col("w_n"), zero) / weight(F.col("touch_t"), s)).alias("touched"),
+        ((F.col("t") - F.col("first_t")) / (86400.0 * US)).alias("age"),
+        F.coalesce(F.col("fanout"), F.lit(0)).cast("double").alias("fanout"),
+        flag(F.col("touch_t").isNotNull()).alias("known"),
     )
     # the prior rides along in the same regrouping instead of a join of its own
     prior = running_prior(outcomes, s)
     parts = parts.select("*", F.lit(None).cast("double").alias("prior")).unionByName(prior, allowMissingColumns=True)
     if only is not None:
         parts = parts.join(only.select("seq"), "seq", "left_semi")
-    wide = parts.groupBy("seq").agg(
-        F.max("prior").alias("prior"), *[F.max(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in KINDS])
+    # plain double columns, so the regrouping is a hash aggregation without a sort
+    fields = {"merchant": ("n", "f", "known", "touched", "age"), "bin": ("n", "f", "known"),
+              "device": ("n", "f", "known", "fanout"), "beneficiary": ("n", "f", "known", "fanout", "touched")}
+    wide = parts.groupBy("seq").agg(F.max("prior").alias("prior"), *[
+        F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k, names in fields.items() for c in names])
     p = F.col("prior")
 
-    def rate(kind: str, n_: str, f_: str) -> Column:
-        known = F.col(kind + ".known")
-        return F.when(known, smoothed(F.col(f"{kind}.{f_}"), F.col(f"{kind}.{n_}"), p, s)).otherwise(p)
+    def rate(kind: str) -> Column:
+        known = F.col(kind + "_known") == 1.0
+        return F.when(known, smoothed(F.col(kind + "_f"), F.col(kind + "_n"), p, s)).otherwise(p)
 
-    get = lambda kind, field: F.coalesce(F.col(f"{kind}.{field}"), zero)
+    get = lambda name: F.coalesce(F.col(name), zero)
     wide = wide.select(
         "seq", "prior",
-        rate("merchant", "n", "f").alias("merchant_fraud_rate"),
-        get("merchant", "touched_n").alias("merchant_txn_count"),
-        get("merchant", "age").alias("merchant_age_days"),
-        rate("bin", "n_x", "f_x").alias("bin_fraud_rate"),
-        rate("device", "n_x", "f_x").alias("device_fraud_rate"),
-        get("device", "fanout").alias("device_customer_fanout"),
-        flag(~F.col("device.known")).alias("device_is_global_new"),
-        rate("beneficiary", "n", "f").alias("beneficiary_fraud_rate"),
-        get("beneficiary", "fanout").alias("beneficiary_customer_fanin"),
-        flag(F.col("beneficiary").isNotNull() & ~F.col("beneficiary.known")).alias("beneficiary_is_global_new"),
-        get("beneficiary", "touched_n").alias("beneficiary_txn_count"),
+        rate("merchant").alias("merchant_fraud_rate"),
+        get("merchant_touched").alias("merchant_txn_count"),
+        get("merchant_age").alias("merchant_age_days"),
+        rate("bin").alias("bin_fraud_rate"),
+        rate("device").alias("device_fraud_rate"),
+        get("device_fanout").alias("device_customer_fanout"),
+        (1.0 - F.col("device_known")).alias("device_is_global_new"),
+        rate("beneficiary").alias("beneficiary_fraud_rate"),
+        get("beneficiary_fanout").alias("beneficiary_customer_fanin"),
+        F.coalesce(1.0 - F.col("beneficiary_known"), zero).alias("beneficiary_is_global_new"),
+        get("beneficiary_touched").alias("beneficiary_txn_count"),
     )
     return wide.select(
         "*",

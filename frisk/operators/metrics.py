@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frisk.config import ACTIONS, ADVERSARIAL, AGE_BRACKETS, DEFAULT, POLICIES, STOPPED, Settings
 from frisk.functions.expr import ratio
+from frisk.functions.keep import kept
 from frisk.operators.running import bucket_by_cuts, global_running, score_cuts
 
 CELLS = ("tp", "fp", "tn", "fn")
@@ -178,9 +179,17 @@ def by_score(df: DataFrame, score: str, label: str = "label") -> DataFrame:
 
 
 def cumulative_by_score(df: DataFrame, score: str, s: Settings = DEFAULT) -> DataFrame:
-    """Per distinct score, positives and negatives at or above it (``tp``, ``fp``)."""
-    g = by_score(df, score)
-    cuts = score_cuts(df.select(score), score, s.score_buckets)
+    """Per distinct score, positives and negatives at or above it (``tp``, ``fp``).
+
+    The grouped scores are read three times (cut points, bucket totals, sums), so they are kept.
+    """
+    g = kept(by_score(df, score))
+    return cumulative(g, s)
+
+
+def cumulative(g: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """``cumulative_by_score`` of an already grouped (score, pos, neg) table."""
+    cuts = score_cuts(g, "score", s.score_buckets)
     down = -bucket_by_cuts(F.col("score"), cuts)
     return global_running(g, down, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
 

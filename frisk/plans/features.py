@@ -1,14 +1,13 @@
-"""Whole feature rows, cases, and how intermediate tables are kept."""
+"""Whole feature rows and cases."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frisk.config import DEFAULT, Settings
 from frisk.functions.expr import age_bracket, age_from_id
+from frisk.functions.keep import kept
 from frisk.ml.scorers import Scorer
 from frisk.operators.decision import customer_alert, is_correct, reasons, with_decision
 from frisk.operators.entity import entity_features
@@ -16,17 +15,6 @@ from frisk.operators.profile import profile_features
 from frisk.operators.rules import with_rules
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder and cut the lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="frisk-checkpoint-"))
-    return df.checkpoint()
-
-
 def with_age(txns: DataFrame, customers: DataFrame | None) -> DataFrame:
     """Stated age, else the dimension's, else a stable one from the id; and its bracket."""
     if customers is not None and "age" in customers.columns:
@@ -62,3 +50,6 @@ def case_table(cases: DataFrame, explanation: DataFrame | None = None) -> DataFr
     return cases.withColumns({
         "reasons": reasons(F.col("explanation")), "customer_alert": customer_alert(),
         "rule_hits": F.transform("hits", lambda h: h["code"]), "correct": is_correct()})
+
+
+__all__ = ["kept", "with_age", "feature_rows", "scored_cases", "case_table"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from frisk.config import ACTIONS, DEFAULT
 from frisk.functions.expr import rounded
+from frisk.functions.keep import kept
 from frisk.ml.scorers import COEFFICIENTS, fixed_scorer
 from frisk.operators import drift, evidence, graph, labels, metrics, review_queue
 from frisk.operators.decision import customer_alert, reasons, result_reason, rules_only_action
@@ -368,7 +369,7 @@ _PBIN = "CASE " + " ".join(f"WHEN risk < {0.05 * (i + 1)!r}e0 THEN {i}" for i in
  z AS (SELECT rf / sum(rf) OVER () AS rr, of_ / sum(of_) OVER () AS oo FROM f)
  SELECT round(sum((oo - rr) * ln(oo / rr)), 6) AS psi, (SELECT CAST(sum(o) AS BIGINT) FROM o) AS n FROM z""")
 def psi_second_half(spark, d):
-    c = cases(spark, d).select("ts", "seq", "risk")
+    c = kept(cases(spark, d).select("ts", "seq", "risk"))
     ranked = drift.with_rank(c)
     total = c.agg(F.count(F.lit(1)).alias("n"))
     first = ranked.crossJoin(F.broadcast(total)).filter(F.col("rank") <= F.floor(F.col("n") / 2)).drop("n")  # one row
@@ -378,7 +379,7 @@ def psi_second_half(spark, d):
 
 @query("rolling_psi")
 def rolling_psi(spark, d):
-    c = cases(spark, d).select("ts", "seq", "risk", "action")
+    c = kept(cases(spark, d).select("ts", "seq", "risk", "action"))
     return drift.rolling_psi(c, drift.score_histogram(c, "risk"))
 
 
@@ -520,7 +521,7 @@ def sweep_flips(spark, d):
  SELECT seq, action AS base_action, action2 AS action, round(r2, 4) AS risk, action <> action2 AS flipped FROM act""")
 def what_if(spark, d):
     c = cases(spark, d)
-    over = c.select("seq", F.lit(2.0).alias("amount_mult"), F.create_map(F.lit("new_device"), F.lit(1.0)).alias("changes"))
+    over = _txns(spark, d).select("seq", F.lit(2.0).alias("amount_mult"), F.create_map(F.lit("new_device"), F.lit(1.0)).alias("changes"))
     w = evidence.what_if(c, over, fixed_scorer, THRESHOLD)
     return w.select("seq", "base_action", "action", "risk", "flipped")
 
@@ -587,3 +588,270 @@ def shipment_volumes(spark, d):
         F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount"))
 
 
+
+
+# --- operating points and label timing ----------------------------------------------------------------
+
+_POINTS = (0.08, 0.15, 0.3, 0.5)
+
+
+@query("operating_points", f"""{Q.with_(Q.BASE, Q.PROFILE, Q.ENTITY, Q.FEAT, Q.RULES, Q.cases_ctes())}, th AS (SELECT unnest([8e-2, 15e-2, 3e-1, 5e-1]) AS threshold),
+ a AS (SELECT threshold, label, {Q.action_sql('risk', 'rank', 'fraud_proba >= threshold')} IN ('BLOCK','CHALLENGE') AS hit FROM cases, th),
+ cm AS (SELECT threshold, {_CELLS} FROM a GROUP BY threshold)
+ SELECT threshold, tp, fp, tn, fn, round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 6) AS recall, round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 6) AS precision,
+   round(1e0 * fn + 4e-2 * fp, 6) AS expected_cost FROM cm""")
+def operating_points(spark, d):
+    from frisk.plans.evaluate import operating_points as points
+    r = points(_features(spark, d), fixed_scorer, list(_POINTS))
+    return r.select("threshold", *metrics.CELLS, *[rounded(F.col(n), 6).alias(n) for n in ("recall", "precision", "expected_cost")])
+
+
+def _timing(name: str, delay: str | None) -> str:
+    return f"""SELECT '{name}' AS outcomes_known, (SELECT round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 6) FROM cm) AS recall,
+ (SELECT round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 6) FROM cm) AS precision, (SELECT round(fp / nullif(CAST(fp + tn AS DOUBLE), 0), 6) FROM cm) AS false_positive_rate,
+ (SELECT round(sum(pos * tp / (tp + fp)) / max(p), 6) FROM cu) AS pr_auc"""
+
+
+def _timing_sql() -> str:
+    parts = []
+    for name, delay in (("instant", "0"), ("delayed", "259200000000"), ("never", None)):
+        body = Q.with_(Q.BASE, Q.PROFILE, Q.entity_ctes(delay), Q.FEAT, Q.RULES, Q.cases_ctes()) + _CUM[len(Q.C):]
+        body += f", lg AS (SELECT label, {_STOP} AS hit FROM cases), cm AS (SELECT {_CELLS} FROM lg)"
+        parts.append(f"SELECT * FROM ({body} {_timing(name, delay)})")
+    return " UNION ALL ".join(parts)
+
+
+@query("label_timing", _timing_sql())
+def label_timing(spark, d):
+    from frisk.plans.evaluate import label_timing as timing
+    r = timing(_events(spark, d), fixed_scorer, THRESHOLD, event_customers(spark, d))
+    return r.select("outcomes_known", *[rounded(F.col(n), 6).alias(n) for n in ("recall", "precision", "false_positive_rate", "pr_auc")])
+
+
+@query("evaluation_report")
+def evaluation_report(spark, d):
+    from frisk.plans.evaluate import report_json, report_tables
+    c = kept(cases(spark, d).withColumn("scenario", F.col("mcc")))
+    return report_json(report_tables(c, n_boot=200, reference=drift.score_histogram(c, "risk")))
+
+
+# --- sources: the tables re-read in each public layout ---------------------------------------------------
+
+_SOURCE_COLS = ("cust_id", "amount", "mcc", "channel", "merchant_id", "beneficiary", "country", "device_id", "card_bin", "label")
+
+
+def _source(df: DataFrame, layout: str, *extra: str, ages: DataFrame | None = None) -> DataFrame:
+    from frisk.sources.layouts import to_events
+    e = to_events(df, layout, ages=ages)
+    return e.select(F.unix_seconds("ts").alias("t"), *_SOURCE_COLS, *extra)
+
+
+def _s(c):
+    return c.cast("string")
+
+
+@query("source_sparkov", """SELECT CAST(epoch(l_shipdate) AS BIGINT) AS t, concat('cc_', l_orderkey + 4000000) AS cust_id, l_extendedprice AS amount,
+  CASE l_linenumber % 5 WHEN 0 THEN 'grocery' ELSE 'retail' END AS mcc, CASE WHEN l_linenumber % 5 IN (1, 2) THEN 'online' ELSE 'pos' END AS channel,
+  concat('m', l_suppkey) AS merchant_id, '' AS beneficiary, 'US' AS country, concat('card_', l_orderkey + 4000000) AS device_id,
+  substr(CAST(l_orderkey + 4000000 AS VARCHAR), 1, 6) AS card_bin, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem""")
+def source_sparkov(spark, d):
+    li, k = read(spark, d, "lineitem"), F.col("l_linenumber") % 5
+    return _source(li.select(
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("trans_date_trans_time"), _s(F.col("l_orderkey") + 4_000_000).alias("cc_num"),
+        F.concat(F.lit("fraud_m"), "l_suppkey").alias("merchant"),
+        F.when(k == 0, "grocery_pos").when(k == 1, "misc_net").when(k == 2, "shopping_net").when(k == 3, "gas_transport").otherwise("food_dining").alias("category"),
+        _s(F.col("l_extendedprice")).alias("amt"), F.when(F.col("l_returnflag") == "R", "1").otherwise("0").alias("is_fraud")), "sparkov")
+
+
+@query("source_ieee", """SELECT o_orderkey * 60 + 1577836800 AS t, concat('ic_', o_custkey, '_', substr(o_orderpriority, 1, 1)) AS cust_id, o_totalprice AS amount,
+  concat('pcd_', lower(substr('WCRHSX', CAST(o_custkey % 6 + 1 AS INT), 1))) AS mcc, CASE o_custkey % 6 WHEN 0 THEN 'pos' WHEN 4 THEN 'transfer' ELSE 'online' END AS channel,
+  concat(o_custkey, '_', substr('WCRHSX', CAST(o_custkey % 6 + 1 AS INT), 1)) AS merchant_id, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE concat('mail', o_custkey % 3) END AS beneficiary,
+  'US' AS country, CASE WHEN o_custkey % 2 = 0 THEN concat('card_', o_custkey) ELSE 'phone' END AS device_id, CAST(o_custkey AS VARCHAR) AS card_bin,
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders""")
+def source_ieee(spark, d):
+    o, c = read(spark, d, "orders"), F.col("o_custkey")
+    return _source(o.select(
+        _s(F.col("o_orderkey") * 60).alias("TransactionDT"), _s(F.col("o_totalprice")).alias("TransactionAmt"),
+        F.substring(F.lit("WCRHSX"), (c % 6 + 1).cast("int"), F.lit(1)).alias("ProductCD"), _s(c).alias("card1"),
+        F.substring("o_orderpriority", 1, 1).alias("addr1"), F.when(c % 3 == 0, "").otherwise(F.concat(F.lit("mail"), c % 3)).alias("P_emaildomain"),
+        F.when(c % 2 == 0, "").otherwise("phone").alias("DeviceInfo"), F.when(F.col("o_orderstatus") == "F", "1").otherwise("NaN").alias("isFraud")), "ieee")
+
+
+@query("source_upi", """SELECT CAST(floor(epoch(ts)) AS BIGINT) AS t, concat('upi_d', user_id) AS cust_id, value AS amount, 'upi_transfer' AS mcc, 'transfer' AS channel,
+  concat('bank', user_id % 5, '_app', user_id % 3) AS merchant_id, '' AS beneficiary, 'IN' AS country, concat('d', user_id) AS device_id,
+  substr(sha1(concat('bank', user_id % 5)), 1, 6) AS card_bin, CASE WHEN value > 25e1 THEN 1 ELSE 0 END AS label FROM events WHERE event_type IN ('view', 'purchase')""")
+def source_upi(spark, d):
+    e, u = read(spark, d, "events"), F.col("user_id")
+    return _source(e.select(
+        _s(F.col("ts")).alias("timestamp"), _s(F.col("value")).alias("amount"), F.concat(F.lit("d"), u).alias("device_fingerprint"),
+        F.concat(F.lit("bank"), u % 5).alias("bank"), F.concat(F.lit("app"), u % 3).alias("upi_app"),
+        F.when(F.col("event_type").isin("view", "purchase"), "Success").otherwise("failed").alias("status"),
+        F.when(F.col("value") > 250, "True").otherwise("False").alias("is_suspicious")), "upi")
+
+
+@query("source_paysim", """SELECT o_orderkey % 743 * 3600 + 1577836800 AS t, concat('ps_C', o_custkey) AS cust_id,
+  round(exp(ln(50e0) + greatest(-2e-1, least(12e-1, (ln(1 + o_totalprice) - 5) / 11)) * (ln(20000e0) - ln(50e0))), 2) AS amount,
+  CASE o_custkey % 6 WHEN 0 THEN 'bank_transfer' WHEN 1 THEN 'atm_withdrawal' WHEN 4 THEN 'wire_transfer' ELSE 'retail' END AS mcc,
+  CASE o_custkey % 6 WHEN 0 THEN 'transfer' WHEN 1 THEN 'atm' WHEN 2 THEN 'pos' WHEN 4 THEN 'transfer' ELSE 'online' END AS channel,
+  CASE WHEN o_custkey % 4 = 0 THEN concat('ps_merchant_', lower(ty)) ELSE concat('M', o_custkey % 50) END AS merchant_id,
+  CASE WHEN o_custkey % 6 IN (0, 4) AND o_custkey % 4 <> 0 THEN concat('M', o_custkey % 50) ELSE '' END AS beneficiary, 'IN' AS country,
+  concat('ps_dev_C', o_custkey) AS device_id, substr(sha1(concat('C', o_custkey)), 1, 6) AS card_bin, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label
+  FROM (SELECT *, ['CASH_IN','CASH_OUT','DEBIT','PAYMENT','TRANSFER','OTHER'][CAST(o_custkey % 6 + 1 AS INT)] AS ty FROM orders)""")
+def source_paysim(spark, d):
+    o, c = read(spark, d, "orders"), F.col("o_custkey")
+    kinds = F.array(*[F.lit(x) for x in ("CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER", "OTHER")])
+    return _source(o.select(
+        _s(F.col("o_orderkey") % 743).alias("step"), F.get(kinds, (c % 6).cast("int")).alias("type"), _s(F.col("o_totalprice")).alias("amount"),
+        F.concat(F.lit("C"), c).alias("nameOrig"), F.when(c % 4 == 0, "").otherwise(F.concat(F.lit("M"), c % 50)).alias("nameDest"),
+        F.when(F.col("o_orderstatus") == "F", "1").otherwise("0").alias("isFraud")), "paysim")
+
+
+@query("source_india_bank", """SELECT CAST(epoch(o_orderdate) AS BIGINT) + 36000 AS t, concat('ib_', o_custkey) AS cust_id, o_totalprice AS amount,
+  CASE o_custkey % 4 WHEN 0 THEN 'transport' WHEN 1 THEN 'travel' WHEN 2 THEN 'retail' ELSE 'restaurant' END AS mcc,
+  CASE o_custkey % 5 WHEN 0 THEN 'atm' WHEN 1 THEN 'pos' WHEN 2 THEN 'transfer' ELSE 'online' END AS channel, concat('ME', o_custkey % 90) AS merchant_id, '' AS beneficiary,
+  CASE WHEN o_custkey % 9 = 0 THEN 'XX' ELSE 'IN' END AS country, concat('ib_', o_custkey, '_Android_Phone') AS device_id, concat('CA', o_custkey) AS card_bin,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END AS label, CASE WHEN c_custkey % 7 <> 0 THEN CAST(18 + c_custkey % 60 AS INT) END AS cust_age
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'""")
+def source_india_bank(spark, d):
+    o, c = read(spark, d, "orders"), F.col("o_custkey")
+    k = F.col("c_custkey")
+    ages = read(spark, d, "customer").select(_s(k).alias("Customer_ID"), F.when(k % 7 == 0, "old").otherwise(F.concat(18 + k % 60, F.lit(".0"))).alias("Age"))
+    return _source(o.select(
+        _s(c).alias("Customer_ID"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Transaction_Date"), F.lit("10:00:00").alias("Transaction_Time"),
+        _s(F.col("o_totalprice")).alias("Transaction_Amount"), F.when(c % 5 == 2, "UPI").otherwise("Card").alias("Payment_Method"),
+        F.when(c % 5 == 0, "ATM").when(c % 5 == 1, "POS").otherwise("Mobile App").alias("Transaction_Channel"), F.lit("Android Phone").alias("Device_Type"),
+        F.when(F.col("o_orderstatus") == "P", "Declined").otherwise("Successful").alias("Transaction_Status"), F.when(c % 9 == 0, "1").otherwise("0").alias("Is_International"),
+        F.when(F.col("o_orderpriority").startswith("1"), "1").otherwise("0").alias("Fraud_Flag"),
+        F.when(c % 4 == 0, "Fuel").when(c % 4 == 1, "Hotel").when(c % 4 == 2, "Space").otherwise("Food Delivery").alias("Merchant_Category"),
+        F.concat(F.lit("ME"), c % 90).alias("Merchant_ID"), F.concat(F.lit("CA"), c).alias("Card_ID")), "india_bank", "cust_age", ages=ages)
+
+
+@query("source_ulb", """SELECT vec_id * 10 + 1577836800 AS t, CAST(vec_id AS DOUBLE) / 4 AS amount, CASE WHEN label % 2 = 1 THEN 1 ELSE 0 END AS label,
+  round(CAST(embedding[1] AS DOUBLE), 6) AS v1, round(CAST(embedding[28] AS DOUBLE), 6) AS v28 FROM embeddings""")
+def source_ulb(spark, d):
+    from frisk.sources.layouts import to_events
+    e = read(spark, d, "embeddings")
+    raw = e.select(
+        _s(F.col("vec_id") * 10).alias("Time"), _s(F.col("vec_id") / 4).alias("Amount"), F.when(F.col("label") % 2 == 1, "1").otherwise("0").alias("Class"),
+        *[_s(F.col("embedding")[i].cast("double")).alias(f"V{i + 1}") for i in range(28)])
+    u = to_events(raw, "ulb")
+    return u.select(F.unix_seconds("ts").alias("t"), "amount", "label", F.round(F.col("raw_features")["V1"], 6).alias("v1"),
+                    F.round(F.col("raw_features")["V28"], 6).alias("v28"))
+
+
+_UPLOAD = """up AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS row_no, o_custkey, o_totalprice, o_orderdate, o_orderkey % 11 AS k FROM orders)"""
+
+
+def _upload(spark, d) -> DataFrame:
+    """Orders as an analyst's export, with every kind of bad row in it."""
+    from frisk.sources.upload import validate
+    o = drift.with_rank(read(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), "o_custkey", "o_totalprice", "o_orderdate").withColumn(
+        "ts", F.timestamp_seconds(F.col("seq"))))
+    k = F.col("seq") % 11
+    raw = o.select(
+        (F.col("rank") + 1).alias("row_no"), F.when(k == 1, "").otherwise(F.concat(F.lit("a"), "o_custkey")).alias("Customer ID"),
+        F.when(k == 2, "much").when(k == 3, "-5").otherwise(F.concat(F.lit("₹"), F.col("o_totalprice").cast("string"))).alias("Amount"),
+        F.when(k == 4, "soon").when(k == 9, F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Date"),
+        F.when(k == 5, "fax").when(k == 9, "UPI").otherwise("").alias("Mode"), F.when(k == 6, "Space Ship").when(k == 10, "Gift Card").otherwise("").alias("Category"),
+        F.when(k == 7, "12").when(k == 10, "44").otherwise("").alias("Age"), F.when(k == 8, "perhaps").when(k == 10, "yes").otherwise("unknown").alias("is_fraud"))
+    return validate(raw)
+
+
+@query("upload_errors", f"""WITH {_UPLOAD} SELECT row_no AS row, CASE k WHEN 1 THEN 'cust_id is empty' WHEN 2 THEN 'amount ''much'' is not a number' WHEN 3 THEN 'amount must be greater than 0 (got -5)'
+  WHEN 4 THEN 'timestamp ''soon'' not recognised — use YYYY-MM-DD HH:MM:SS' WHEN 5 THEN 'channel ''fax'' must be one of pos, online, atm, transfer'
+  WHEN 6 THEN 'category ''Space Ship'' is not recognised — use one of: atm_withdrawal, bank_transfer, crypto, electronics, entertainment, gift_card, grocery, restaurant, retail, transport, travel, upi_transfer, utilities, wire_transfer'
+  WHEN 7 THEN 'age 12 is outside 18-120' WHEN 8 THEN 'is_fraud must be 0/1, yes/no or true/false (got ''perhaps'')' END AS error FROM up WHERE k BETWEEN 1 AND 8""")
+def upload_errors(spark, d):
+    from frisk.sources.upload import split
+    return split(_upload(spark, d))[1]
+
+
+@query("upload_valid", f"""WITH {_UPLOAD} SELECT row_no, concat('a', o_custkey) AS cust_id, o_totalprice AS amount, CAST(epoch(o_orderdate) AS BIGINT) AS t,
+  CASE WHEN k = 9 THEN 'transfer' ELSE 'online' END AS channel, CASE WHEN k = 10 THEN 'gift_card' ELSE 'retail' END AS mcc,
+  CASE WHEN k = 10 THEN 'merchant_gift_card' ELSE 'merchant_retail' END AS merchant_id, concat('dev_a', o_custkey) AS device_id,
+  CASE WHEN k = 10 THEN 44 END AS cust_age, CASE WHEN k = 10 THEN 1 ELSE 0 END AS label, k = 10 AS labelled FROM up WHERE k IN (0, 9, 10)""")
+def upload_valid(spark, d):
+    from frisk.sources.upload import split
+    e = split(_upload(spark, d))[0]
+    return e.select(F.col("seq").alias("row_no"), "cust_id", "amount", F.unix_seconds("ts").alias("t"), "channel", "mcc", "merchant_id",
+                    "device_id", "cust_age", "label", "labelled")
+
+
+@query("upload_counts", f"""WITH {_UPLOAD} SELECT count(*) AS rows, count(CASE WHEN k IN (0, 9, 10) THEN 1 END) AS valid, count(CASE WHEN k BETWEEN 1 AND 8 THEN 1 END) AS rejected,
+  count(CASE WHEN k = 10 THEN 1 END) AS labelled FROM up""")
+def upload_counts(spark, d):
+    from frisk.sources.upload import delivery_counts
+    return delivery_counts(_upload(spark, d))
+
+
+@query("blend_sources", f"""{Q.with_(Q.BASE)}, a AS (SELECT t, row_number() OVER (ORDER BY t, seq) AS r FROM txn), b AS (SELECT t, row_number() OVER (ORDER BY t, seq) AS r FROM ev WHERE type = 'login')
+ SELECT 'real' AS source, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM a WHERE r > 100 AND r <= 400 UNION ALL SELECT 'other', count(*), min(t), max(t) FROM b WHERE r <= 200""")
+def blend_sources(spark, d):
+    from frisk.sources.replay import blend, source_counts
+    e = _events(spark, d)
+    b = blend(e.filter("type = 'txn'"), e.filter("type = 'login'"), 500, 0.6, cursor=100)
+    return source_counts(b).select("source", "n", F.unix_micros("first_ts").alias("first_t"), F.unix_micros("last_ts").alias("last_t"))
+
+
+@query("replay_page", f"""{Q.with_(Q.BASE)}, a AS (SELECT seq, row_number() OVER (ORDER BY t, seq) AS r, count(*) OVER () AS n FROM txn)
+ SELECT seq, r AS rank, n <= 750 AS exhausted FROM a WHERE r > 500 AND r <= 750""")
+def replay_page(spark, d):
+    from frisk.sources.replay import page
+    return page(_txns(spark, d), 500, 250).select("seq", "rank", "exhausted")
+
+
+@query("profile_snapshot", f"""{Q.with_(Q.BASE)} SELECT cust_id, count(*) AS n, round(avg(amount), 6) AS mean_amount, max(amount) AS max_amount, arg_max(country, t) AS last_country, max(t) AS last_t
+ FROM txn WHERE label = 0 GROUP BY cust_id""")
+def profile_snapshot(spark, d):
+    from frisk.sources.sinks import profile_snapshot as snap
+    s = snap(_txns(spark, d))
+    return s.select("cust_id", "n", F.round("mean_amount", 6).alias("mean_amount"), "max_amount", "last_country", F.unix_micros("last_ts").alias("last_t"))
+
+
+# --- gate, training, streaming -------------------------------------------------------------------------------
+
+@query("gate_mix")
+def gate_mix(spark, d):
+    from frisk.plans.gate import run_gate
+    return metrics.decision_mix(run_gate(_events(spark, d), fixed_scorer, THRESHOLD, event_customers(spark, d)), ["channel"])
+
+
+@query("train_model")
+def train_model(spark, d):
+    """Point-in-time training set, both heads, calibration, cut-off and out-of-time metrics."""
+    from frisk.ml.model import train
+    rows = kept(labels.with_training_weights(_features(spark, d)))
+    m = train(rows, max_iter=20, n_boot=50)
+    picked = {k: m.meta[k] for k in ("n_samples", "n_fraud", "calibration_method", "roc_auc", "pr_auc", "brier_raw", "brier_calibrated", "cost_threshold")}
+    return spark.createDataFrame([tuple(picked.values())], "n_samples long, n_fraud long, calibration_method string, roc_auc double, pr_auc double, "
+                                 "brier_raw double, brier_calibrated double, cost_threshold double")
+
+
+def _run_stream(spark, d, make, *names: str) -> DataFrame:
+    """Drain a stream over the events file into a table and read it back."""
+    from frisk.functions.keep import folder
+    from frisk.sources.tables import map_events
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = folder(spark)
+    raw = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    q = (make(map_events(raw)).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(*names)
+
+
+@query("stream_entity_stats", f"""{Q.E} SELECT seq, kind, round(n, 6) AS n, round(f, 6) AS f, round(touched, 6) AS touched_n, CAST(fanout AS BIGINT) AS fanout FROM ek""")
+def stream_entity_stats(spark, d):
+    from frisk.streaming.stateful import entity_stream
+    s = _run_stream(spark, d, lambda e: entity_stream(e.filter("type = 'txn'")), "seq", "kind", "n", "f", "touched_n", "fanout")
+    return s.select("seq", "kind", *[rounded(F.col(c), 6).alias(c) for c in ("n", "f", "touched_n")], "fanout")
+
+
+_STREAM_PROFILE = ("history_n", "secs_since_last", "new_merchant", "new_device", "new_beneficiary", "txn_count_5m", "txn_count_1h", "txn_count_24h", "amt_sum_24h",
+                   "distinct_merchants_24h", "failed_logins_1h", "logins_1h", "peak_5m", "peak_1h")
+
+
+@query("stream_profile", f"{Q.P} SELECT seq, {_r(*_STREAM_PROFILE, places=6)} FROM prof")
+def stream_profile(spark, d):
+    from frisk.streaming.stateful import profile_stream
+    return _cols(_run_stream(spark, d, profile_stream, "seq", *_STREAM_PROFILE), *_STREAM_PROFILE, places=6)

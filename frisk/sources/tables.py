@@ -14,7 +14,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events_as_account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events``: views, clicks and purchases are payments; signups and errors are logins."""
-    e = read(spark, sf_dir, "events")
+    return map_events(read(spark, sf_dir, "events"))
+
+
+def map_events(e: DataFrame) -> DataFrame:
+    """The same mapping for any frame (or stream) with the columns of ``events``."""
 
     k = F.col("k")
     user, kind = F.col("user_id"), F.col("event_type")

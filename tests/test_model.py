@@ -69,7 +69,7 @@ def test_raw_feature_columns(spark, table):
 
 def test_feedback_adjustment_is_capped_and_silent_at_first(spark, table):
     cols = feedback_adjust.ADJUST_COLUMNS
-    cases = table.limit(40).select("seq", "ts", F.lit("c").alias("cust_id"), F.lit(5.0).alias("amount"), *[(F.col("x1") * (i == 0)).alias(c) for i, c in enumerate(cols)])
+    cases = table.limit(40).select("seq", "ts", F.lit("c").alias("cust_id"), F.lit(5.0).alias("amount"), *[(F.col("x1") * float(i == 0)).alias(c) for i, c in enumerate(cols)])
     log = cases.select(F.col("seq").alias("log_id"), "cust_id", "ts", "amount", (F.col("amount_z") > 0).cast("int").alias("label"), F.col("ts").alias("recorded_at"))
     fit = feedback_adjust.fit_adjustment(log, cases)
     adj = feedback_adjust.with_adjustment(cases, fit).select("amount_z", "online_adjustment").collect()
