@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from frisk.config import DEFAULT, US, Settings
 from frisk.operators.entity import KINDS, entity_rows, entity_snapshot, outcome_rows, smoothed, weight
 
+_SALTS = 512  # parts a widely shared key is ranked in
+
 
 def entity_edges(txns: DataFrame) -> DataFrame:
     """Distinct (cust_id, kind, key) links; unknown keys are no link."""
@@ -22,7 +24,7 @@ def _first_customers(edges: DataFrame, keep: int) -> DataFrame:
     customers is neither sorted nor collected in one task.
     """
     keys = ["kind", "key"]
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("cust_id"), F.lit(64)))
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("cust_id"), F.lit(_SALTS)))
     local = Window.partitionBy(*keys, "salt").orderBy("cust_id")
     part = salted.withColumn("r", F.row_number().over(local)).groupBy(*keys, "salt").agg(
         F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("r") <= keep, F.col("cust_id"))).alias("few"))

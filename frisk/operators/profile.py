@@ -308,6 +308,12 @@ def _finish(raw: DataFrame, s: Settings) -> DataFrame:
     return raw.withColumns(feats).drop(*drop)
 
 
+def _with_home(e: DataFrame, customers: DataFrame | None) -> DataFrame:
+    if customers is None:
+        return e.withColumns({"home_country": F.lit(None).cast("string"), "account_open": F.lit(None).cast("timestamp")})
+    return e.join(customers.select("cust_id", "home_country", "account_open"), "cust_id", "left")
+
+
 def profile_features(
     events: DataFrame,
     customers: DataFrame | None = None,
@@ -323,17 +329,15 @@ def profile_features(
     """
     gate = (F.col("label") == 0) if accepted is None else accepted
     e = prepare(events, gate)
-    if customers is None:
-        e = e.withColumns({"home_country": F.lit(None).cast("string"), "account_open": F.lit(None).cast("timestamp")})
-    else:
-        e = e.join(customers.select("cust_id", "home_country", "account_open"), "cust_id", "left")
     grid = hot_keys(e.select("cust_id", "t"), ["cust_id"], "t", settings.hot_rows)
     if grid is None:
-        raw = _cold(e, early_logins)
+        raw = _cold(_with_home(e, customers), early_logins)
     else:
         names = grid.select("cust_id")
-        cold = _cold(e.join(names, "cust_id", "left_anti"), early_logins)
-        hot = _hot(e.join(names, "cust_id", "left_semi"), grid, early_logins)
+        cold = _cold(_with_home(e.join(names, "cust_id", "left_anti"), customers), early_logins)
+        # at most one dimension row per hot customer: small by construction
+        few = None if customers is None else F.broadcast(customers.join(names, "cust_id", "left_semi"))
+        hot = _hot(_with_home(e.join(names, "cust_id", "left_semi"), few), grid, early_logins)
         shared = [c for c in cold.columns if c in hot.columns]
         raw = cold.select(shared).unionByName(hot.select(shared))
     return _finish(raw, settings)

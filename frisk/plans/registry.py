@@ -840,7 +840,7 @@ def _run_stream(spark, d, make, *names: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select(*names)
 
 
-@query("stream_entity_stats", f"""{Q.E} SELECT seq, kind, round(n, 6) AS n, round(f, 6) AS f, round(touched, 6) AS touched_n, CAST(fanout AS BIGINT) AS fanout FROM ek""")
+@query("stream_entity_stats", f"""{Q.E} SELECT seq, kind, round(n, 6) AS n, round(f, 6) AS f, round(coalesce(touched, 0e0), 6) AS touched_n, CAST(fanout AS BIGINT) AS fanout FROM ek""")
 def stream_entity_stats(spark, d):
     from frisk.streaming.stateful import entity_stream
     s = _run_stream(spark, d, lambda e: entity_stream(e.filter("type = 'txn'")), "seq", "kind", "n", "f", "touched_n", "fanout")
