@@ -855,3 +855,91 @@ _STREAM_PROFILE = ("history_n", "secs_since_last", "new_merchant", "new_device",
 def stream_profile(spark, d):
     from frisk.streaming.stateful import profile_stream
     return _cols(_run_stream(spark, d, profile_stream, "seq", *_STREAM_PROFILE), *_STREAM_PROFILE, places=6)
+
+
+# --- splits, references and smaller operators ------------------------------------------------------------------
+
+@query("time_split", f"""{Q.with_(Q.BASE)}, r AS (SELECT seq, row_number() OVER (ORDER BY t, seq) AS r, count(*) OVER () AS n FROM txn)
+ SELECT seq, CASE WHEN r <= CAST(floor(n * 7e-1) AS BIGINT) THEN 'train' WHEN r <= CAST(floor(n * 85e-2) AS BIGINT) THEN 'valid' ELSE 'test' END AS split FROM r""")
+def time_split(spark, d):
+    from frisk.ml.model import time_split as by_time
+    return by_time(_txns(spark, d)).select("seq", "split")
+
+
+_MEDIAN_OF = ("amount", "amount_z", "secs_since_last", "txn_count_24h", "account_age_days")
+
+
+@query("reference_medians", f"{Q.P} SELECT " + ", ".join(f"round(median({c}), 6) AS {c}" for c in _MEDIAN_OF) + " FROM prof")
+def reference_medians(spark, d):
+    from frisk.ml.model import medians
+    rows = kept(_profile(spark, d).select(*_MEDIAN_OF))
+    m = medians(rows, list(_MEDIAN_OF), rows.count())
+    return spark.range(1).select(*[F.round(F.lit(m[c]), 6).alias(c) for c in _MEDIAN_OF])
+
+
+@query("score_histogram", f"""{Q.C}, bins AS (SELECT CAST(range AS INT) AS bin FROM range(10)),
+ h AS (SELECT b.bin, count(k.seq) + 1e-6 AS h FROM bins b LEFT JOIN (SELECT {_PBIN} AS bin, seq FROM cases) k ON k.bin = b.bin GROUP BY b.bin)
+ SELECT bin, round(h / sum(h) OVER (), 8) AS share FROM h""")
+def score_histogram(spark, d):
+    return drift.score_histogram(cases(spark, d), "risk").select("bin", F.round("share", 8).alias("share"))
+
+
+@query("evidence_gate", f"{Q.C} SELECT seq FROM cases WHERE n_hits > 0 OR risk >= 28e-2 OR fraud_proba >= {Q.THRESHOLD}")
+def evidence_gate(spark, d):
+    from frisk.operators.decision import needs_evidence
+    return cases(spark, d).filter(needs_evidence(THRESHOLD)).select("seq")
+
+
+@query("case_headlines", f"""{Q.C}, dec AS (SELECT DISTINCT seq FROM hits WHERE code IN ('impossible_travel', 'known_bad_entity', 'card_testing', 'ato_login_then_spend'))
+ SELECT c.seq, CASE WHEN action = 'BLOCK' AND (risk >= 9e-1 OR dec.seq IS NOT NULL) THEN 'High-confidence block' WHEN action = 'ALLOW' AND risk < 15e-2 THEN 'Cleared — looks normal'
+   WHEN action = 'BLOCK' THEN 'Blocked' WHEN action = 'CHALLENGE' THEN 'Step-up verification required' WHEN action = 'REVIEW' THEN 'Flagged for analyst review' ELSE 'Cleared' END AS headline,
+   concat('Ground truth: ', CASE WHEN label = 1 THEN 'fraud (fraud)' ELSE 'legitimate' END, ' — the model was ', CASE WHEN ({_STOP}) = (label = 1) THEN 'correct' ELSE 'wrong' END, '.') AS ground_truth
+ FROM cases c LEFT JOIN dec ON dec.seq = c.seq""")
+def case_headlines(spark, d):
+    from frisk.operators.narrative import with_narrative
+    return with_narrative(case_table(cases(spark, d))).select("seq", "headline", "ground_truth")
+
+
+@query("case_summaries", f"""{Q.C}, h1 AS (SELECT seq, arg_min(message, pos) AS message FROM hits GROUP BY seq)
+ SELECT c.seq, concat('This ₹', format('{{:,.2f}}', amount), ' ', CASE WHEN channel = 'transfer' THEN 'transfer' ELSE concat(replace(mcc, '_', ' '), ' ', channel) END,
+   CASE WHEN beneficiary <> '' AND new_beneficiary = 1 THEN concat(' to new payee ', beneficiary) WHEN beneficiary <> '' THEN concat(' to ', beneficiary) ELSE concat(' at ', merchant_id) END,
+   ' in ', country, ' by ', cust_id, ' ', CASE action WHEN 'BLOCK' THEN 'was blocked' WHEN 'CHALLENGE' THEN 'was paused for verification' WHEN 'REVIEW' THEN 'was allowed but flagged' ELSE 'was allowed' END, '.',
+   CASE WHEN n_hits > 0 AND {_STOP} THEN concat(' ', h1.message) ELSE '' END,
+   CASE WHEN action = 'ALLOW' THEN ' Amount, merchant, location, device and timing are all consistent with this customer''s history.' ELSE '' END) AS summary
+ FROM cases c LEFT JOIN h1 ON h1.seq = c.seq""")
+def case_summaries(spark, d):
+    """The note without probe lines (no explanation computed): opening, rule, closing."""
+    from frisk.operators.narrative import with_narrative
+    return with_narrative(case_table(cases(spark, d))).select("seq", "summary")
+
+
+@query("fairness_gap", f"""{Q.C}, {_BRACKETS}, g AS (SELECT b.age_bracket, count(CASE WHEN label = 0 AND {_STOP} THEN 1 END) / nullif(CAST(count(CASE WHEN label = 0 THEN 1 END) AS DOUBLE), 0) AS fpr
+   FROM br b LEFT JOIN cases c ON c.age_bracket = b.age_bracket GROUP BY b.age_bracket)
+ SELECT CASE WHEN count(fpr) >= 2 THEN round(max(fpr) - min(fpr), 4) END AS fpr_gap FROM g""")
+def fairness_gap(spark, d):
+    return metrics.gap(metrics.age_breakdown(cases(spark, d)), "false_positive_rate", 4, "fpr_gap")
+
+
+@query("verification_results", f"""{Q.C}, lg AS (SELECT c.seq AS case_id, b.k, u.n FROM (SELECT seq FROM cases) c JOIN base b ON b.seq = c.seq, (SELECT unnest([1, 2]) AS n) u WHERE b.k % 2 = 0 OR u.n = 1)
+ SELECT l.case_id, l.n, CASE WHEN c.action = 'CHALLENGE' AND l.n = 1 THEN CASE WHEN l.k % 3 = 0 THEN 'passed' ELSE 'failed' END ELSE 'refused' END AS outcome
+ FROM lg l JOIN cases c ON c.seq = l.case_id""")
+def verification_results(spark, d):
+    from frisk.streaming.micro_batch import apply_verifications
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    e = read(spark, d, "events").filter("event_type IN ('view', 'click', 'purchase')").select(
+        F.col("event_id").alias("case_id"), k.alias("k"), F.col("ts").cast("timestamp").alias("ts"))
+    log = e.withColumn("n", F.explode(F.when(F.col("k") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).select(
+        "case_id", (F.col("k") % 3 == 0).alias("passed"), F.timestamp_micros(F.unix_micros("ts") + F.col("n")).alias("at"), "n")
+    c = kept(cases(spark, d).select("seq", "action"))
+    ok, bad = apply_verifications(log, c)
+    key = log.select("case_id", "at", "n")
+    return ok.select("case_id", "at", F.col("verification").alias("outcome")).unionByName(
+        bad.select("case_id", "at", F.lit("refused").alias("outcome"))).join(key, ["case_id", "at"]).select("case_id", "n", "outcome")
+
+
+@query("entity_rates_with_feedback")
+def entity_rates_with_feedback(spark, d):
+    """Fraud feedback matched to transactions enters the entity statistics when it arrives."""
+    t = _txns(spark, d)
+    confirms = labels.feedback_confirms(feedback_log(spark, d), t)
+    return _cols(entity_features(t, DEFAULT, confirms), "merchant_fraud_rate", "beneficiary_fraud_rate", "prior", places=6)
