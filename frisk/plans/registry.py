@@ -18,7 +18,7 @@ from frisk.operators.profile import profile_features
 from frisk.operators.rules import with_rules
 from frisk.plans import oracle_sql as Q
 from frisk.plans.features import case_table, feature_rows, scored_cases, with_age
-from frisk.sources.tables import event_customers, events_as_account_events, read, shipments_as_account_events
+from frisk.sources.tables import event_customers, events_as_account_events, payments, read, shipments_as_account_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,7 +42,7 @@ def _events(spark, d):
 
 
 def _txns(spark, d):
-    return _events(spark, d).filter("type = 'txn'")
+    return payments(spark, d)
 
 
 def _profile(spark, d):
@@ -50,12 +50,12 @@ def _profile(spark, d):
 
 
 def _features(spark, d):
-    return feature_rows(_events(spark, d), event_customers(spark, d))
+    return feature_rows(_events(spark, d), event_customers(spark, d), entities=entity_features(_txns(spark, d)))
 
 
 def cases(spark, d, s=DEFAULT, threshold=THRESHOLD):
     """Scored cases with the fixed scorer and the label gate (decisions do not feed back)."""
-    rows = with_age(feature_rows(_events(spark, d), event_customers(spark, d), s=s), event_customers(spark, d))
+    rows = with_age(_features(spark, d), event_customers(spark, d))
     return scored_cases(rows, fixed_scorer, threshold, s)
 
 
