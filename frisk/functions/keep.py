@@ -33,3 +33,17 @@ def kept(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back: computed once, no lineage, pruned reads."""
+    path = path or folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete tables written by ``stored`` that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
