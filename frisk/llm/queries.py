@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import line_dedup
+from frisk.llm import byte_bpe, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,14 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query("op4_byte_bpe")
+def op4(spark, d):
+    import public_tokenizers as P
+    docs, ranks = table(spark, d, "documents").select("doc_id", "text"), P.path("byte_bpe_50k.tiktoken")
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, P.PATTERN), ranks, P.PATTERN)
+    return byte_bpe.per_document(docs, decoded)
+
+
 @query("op8_line_dedup", LINES_SQL)
 def op8(spark, d):
     out = line_dedup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
