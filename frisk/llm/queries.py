@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, line_dedup
+from frisk.llm import byte_bpe, line_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query("op2_quality_rules")
+def op2(spark, d):
+    out = quality_rules.quality_filter(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
 @query("op4_byte_bpe")
 def op4(spark, d):
     import public_tokenizers as P
