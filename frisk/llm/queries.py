@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, line_dedup, quality_rules
+from frisk.llm import byte_bpe, line_dedup, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +64,26 @@ def op4(spark, d):
     return byte_bpe.per_document(docs, decoded)
 
 
+PAGES_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+g AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload),
+h AS (SELECT payload, first, sha1(payload) AS hex FROM g),
+d AS (SELECT payload, first, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (v >> (5 * (3 - j)))::INTEGER % 32, 1), '' ORDER BY i, j)
+      FROM (SELECT i, j, ('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT AS v FROM range(8) a(i), range(4) b(j))) AS digest FROM h)
+SELECT page_id, octet_length(p.payload) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN d ON p.payload = d.payload
+"""
+
+
+@query("op7_warc", PAGES_SQL)
+def op7(spark, d):
+    history = warc.archive_and_index(table(spark, d, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op8_line_dedup", LINES_SQL)
 def op8(spark, d):
     out = line_dedup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
