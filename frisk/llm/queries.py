@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, line_dedup, quality_rules, warc
+from frisk.llm import byte_bpe, line_dedup, packing, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,9 @@ def op8(spark, d):
     out = line_dedup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").cast("long").alias("n_dropped"),
                       F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_packing")
+def op10(spark, d):
+    import public_tokenizers as P
+    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), P.path("word_bpe_49k.json"))
