@@ -99,7 +99,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def ids(batches):
         enc = encoding(path, pattern)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             values = [enc.encode_ordinary(text) for text in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(values, pa.list_(pa.int32()))],
                                              names=["doc_id", "__tk", "piece", "shared", "ids"])
@@ -117,7 +117,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def raw(batches):
         enc = encoding(path, pattern)
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             ids = batch.column(at)
             flat, ends = ids.values.to_numpy(), ids.offsets.to_pylist()
             values = [enc.decode_bytes(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, line_dedup, packing, quality_rules, warc
+from frisk.llm import byte_bpe, line_dedup, ngram_join, packing, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query("op1_ngram_join")
+def op1(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return ngram_join.jaccard_groups(docs, ngram_join.Similarity(words=3, percent=90))
+
+
 @query("op2_quality_rules")
 def op2(spark, d):
     out = quality_rules.quality_filter(table(spark, d, "documents").select("doc_id", "text"))
