@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, line_dedup, ngram_join, packing, quality_rules, warc
+from frisk.llm import byte_bpe, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,6 +62,12 @@ def op2(spark, d):
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+@query("op3_quality_classifier")
+def op3(spark, d):
+    out = quality_classifier.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "quality_score", "toxic_score", "kept")
+
+
 @query("op4_byte_bpe")
 def op4(spark, d):
     import public_tokenizers as P
