@@ -20,14 +20,14 @@ from frisk.functions.keep import stored
 from frisk.llm.rows import slices
 
 BUCKETS = 1 << 18
-MIN_Z = 6.0  # buckets whose share differs between the classes by so many standard errors
+MIN_Z, MIN_DOCUMENTS = 5.0, 3  # buckets whose share differs between the classes by so many standard errors, and that so many have
 MAX_LABELLED = 12_000  # labelled documents that a model is fitted on at most; a fixed share of them by id hash
 _LETTER = re.compile(r"[^\W\d_]+")
 _SHAPE = ("log_words", "symbols", "capitals", "distinct", "digits", "most_common", "word_length", "lines")
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words, shape): the buckets of the text's distinct lower-case letter runs, and a few shares of the whole text."""
+    """(hashed words, shape): the buckets of the text's distinct lower-case letter runs and of their beginnings, and a few shares of the whole text."""
     import xxhash
     text = text or ""
     raw = text.encode()
@@ -37,6 +37,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     runs = {run for w in counts for run in _LETTER.findall(w.decode().lower())}
+    runs |= {f"{run[:5]}*" for run in runs if len(run) > 5}  # one bucket for the inflected forms of a stem
     buckets = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(r) % BUCKETS for r in runs), "int64", len(runs)))
     symbols = len(raw) - len(raw.translate(None, b"#*$%&|<>!{}[]=~^\\@_"))
     capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -64,17 +65,20 @@ def informative(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     share, both = hits / n[:, None], hits.sum(axis=0) / n.sum()
     z = np.abs(share[1] - share[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n).sum())
-    return (z >= MIN_Z) & (hits.sum(axis=0) >= 8)
+    return (z >= MIN_Z) & (hits.sum(axis=0) >= MIN_DOCUMENTS)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 30, rate: float = 0.5, seed: int = 7) -> Linear:
-    """Logistic regression by AdaGrad on informative buckets; both classes weigh the same.  With one class or no rows it is neutral."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 30, rate: float = 0.5, seed: int = 7, words_only: bool = False) -> Linear:
+    """Logistic regression by AdaGrad on informative buckets and shape; both classes weigh the same.
+
+    ``words_only`` leaves the shape out.  With one class or no rows the model is neutral.
+    """
     model = Linear(0.0, np.zeros(len(_SHAPE)), np.zeros(BUCKETS))
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return model
     used = informative(rows, y)
-    rows = [(b[used[b]], s) for b, s in rows]
+    rows = [(b[used[b]], s * (not words_only)) for b, s in rows]
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     rng = np.random.default_rng(seed)
     g0, g1, g2 = 1e-6, np.full(len(_SHAPE), 1e-6), np.full(BUCKETS, 1e-6)
@@ -115,7 +119,7 @@ def models(sample: DataFrame) -> tuple[Linear, Linear]:
     """(quality, toxicity) fitted on the bounded sample, on the driver."""
     table = sample.toArrow().sort_by("id")
     x = [(np.array(b.values, "int64"), np.array(s.values, "float64")) for b, s in zip(table.column("buckets").combine_chunks(), table.column("shape").combine_chunks())]
-    return fit(x, table.column("quality").to_numpy()), fit(x, table.column("toxic").to_numpy())
+    return fit(x, table.column("quality").to_numpy()), fit(x, table.column("toxic").to_numpy(), words_only=True)
 
 
 def evidence(docs: DataFrame, quality: Linear, toxicity: Linear, text_col: str = "text") -> DataFrame:
