@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
+from frisk.llm import byte_bpe, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,6 +103,11 @@ def op8(spark, d):
                       F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op9_language_id")
+def op9(spark, d):
+    return language_id.identify(table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
 @query("op10_packing")
 def op10(spark, d):
     import public_tokenizers as P
