@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
+from frisk.llm import byte_bpe, html_text, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +76,11 @@ def op4(spark, d):
     return byte_bpe.per_document(docs, decoded)
 
 
+@query("op5_html_text")
+def op5(spark, d):
+    return html_text.extract(table(spark, d, "pages"))
+
+
 PAGES_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 g AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload),
