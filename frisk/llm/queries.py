@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, html_text, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
+from frisk.llm import byte_bpe, html_text, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, search, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +81,12 @@ def op5(spark, d):
     return html_text.extract(table(spark, d, "pages"))
 
 
+@query("op6_topk_search")
+def op6(spark, d):
+    rows = search.vectors(table(spark, d, "documents").select("doc_id", "text"))
+    return search.search(rows, rows.filter("id % 50 = 0"), k=10)
+
+
 PAGES_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 g AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload),
