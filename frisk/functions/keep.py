@@ -47,3 +47,17 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of one computation: written like ``stored``, deleted together once the result no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, folder(spark), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return stored(df, f"{self.path}/{self.n}")
+
+    def clear(self) -> None:
+        dropped(self.spark, self.path)
