@@ -18,7 +18,8 @@ from frisk.operators.running import CHUNK, Fold, chunk_of, hot_keys, running
 
 _KEYS = {"merchant": "merchant_id", "country": "country", "device": "device_id",
          "payee": "beneficiary", "token": "tok"}
-_EXACT = "decimal(20,6)"  # sliding sums on the hot route add and subtract: keep them exact
+# sliding sums on the hot route add and subtract, so they are kept exact: a whole part and a fraction in steps of 2^-60
+_EXACT, _STEPS = "decimal(38,0)", float(1 << 60)
 
 # what each route has to deliver; ``_finish`` turns these into the published features
 _RAW = ("n", "mean", "sd", "mx", "last", "home", "opened",
@@ -117,10 +118,11 @@ def _hot(e: DataFrame, grid: DataFrame, early_logins: bool) -> DataFrame:
     first_txn = (
         e.filter(F.col("type") == "txn")
         .groupBy("cust_id")
-        .agg(F.min_by(F.struct("country", "t", "seq"), F.struct("t", "seq")).alias("first_txn"),
+        .agg(F.min(F.struct("t", "seq")).alias("first_txn"),
+             F.min(F.when(F.col("country").isNotNull(), F.struct("t", "seq", "country"))).alias("first_home"),
              F.avg("amount").alias("center"))
     )  # one row per hot customer
-    e = e.join(F.broadcast(first_txn), "cust_id", "left")
+    e = e.join(first_txn, "cust_id", "left")
     e = e.withColumn("txns_before", F.when(F.struct("t", "seq") > F.struct("first_txn.t", "first_txn.seq"), 1).otherwise(0))
     login = _login_rows(early_logins)
 
@@ -141,16 +143,20 @@ def _hot(e: DataFrame, grid: DataFrame, early_logins: bool) -> DataFrame:
     e = e.join(wide, ["cust_id", "seq"])
 
     day = 86400 * US
-    fresh = lambda name: F.when(F.col("t") - F.col("t_" + name) <= day, 0).otherwise(1)
-    money = F.col("amount").cast(_EXACT)
+    has = {name: F.col(_KEYS[name]).isNotNull() for name in ("merchant", "country")}  # a missing key is no distinct value
+    fresh = lambda name: F.when(has[name], F.when(F.col("t") - F.col("t_" + name) <= day, 0).otherwise(1))
+    leave = lambda name: F.when(has[name], -1)
+    whole = F.col("amount").cast(_EXACT)
+    part = ((F.col("amount") - whole.cast("double")) * _STEPS).cast(_EXACT)
     failed = F.when(login & (F.col("success") == 0), 1)
-    moves = ("c5", "c1", "c24", "s1", "s24", "dm", "dc", "fl", "lg")
-    enter = {"c5": F.lit(1), "c1": F.lit(1), "c24": F.lit(1), "s1": money, "s24": money,
+    money = ("s1", "s24", "s1_part", "s24_part")
+    moves = ("c5", "c1", "c24", *money, "dm", "dc", "fl", "lg")
+    enter = {"c5": F.lit(1), "c1": F.lit(1), "c24": F.lit(1), "s1": whole, "s24": whole, "s1_part": part, "s24_part": part,
              "dm": fresh("merchant"), "dc": fresh("country")}
 
     def at(shift: Column, ord_: int, **delta: Column) -> Column:
         """One row of the running sums: when it applies and what it changes."""
-        kind = lambda k: _EXACT if k in ("s1", "s24") else "long"
+        kind = lambda k: _EXACT if k in money else "long"
         return F.struct(
             shift.alias("t"), F.lit(ord_).alias("ord"),
             *[delta.get(k, F.lit(None)).cast(kind(k)).alias("d_" + k) for k in moves],
@@ -163,8 +169,8 @@ def _hot(e: DataFrame, grid: DataFrame, early_logins: bool) -> DataFrame:
     steps = F.array(
         now,
         F.when(is_acc, at(F.col("t") + 300 * US, 3, c5=F.lit(-1))),
-        F.when(is_acc, at(F.col("t") + 3600 * US, 3, c1=F.lit(-1), s1=-money)),
-        F.when(is_acc, at(F.col("t") + day, 3, c24=F.lit(-1), s24=-money, dm=F.lit(-1), dc=F.lit(-1))),
+        F.when(is_acc, at(F.col("t") + 3600 * US, 3, c1=F.lit(-1), s1=-whole, s1_part=-part)),
+        F.when(is_acc, at(F.col("t") + day, 3, c24=F.lit(-1), s24=-whole, s24_part=-part, dm=leave("merchant"), dc=leave("country"))),
         # a key seen again within the day was not counted twice, so its earlier exit is undone
         F.when(is_acc & (fresh("merchant") == 0), at(F.col("t_merchant") + day, 3, dm=F.lit(1))),
         F.when(is_acc & (fresh("country") == 0), at(F.col("t_country") + day, 3, dc=F.lit(1))),
@@ -194,11 +200,10 @@ def _hot(e: DataFrame, grid: DataFrame, early_logins: bool) -> DataFrame:
         "n": n,
         "mean": F.when(n > 0, F.col("center") + F.col("sum_dev") / n),
         "sd": F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))),
-        "s1": F.coalesce(F.col("s1"), F.lit(0)).cast("double"),
-        "s24": F.coalesce(F.col("s24"), F.lit(0)).cast("double"),
-        "home": F.col("first_txn.country"),
+        **{k: F.coalesce(F.col(k), F.lit(0)).cast("double") + F.coalesce(F.col(k + "_part"), F.lit(0)).cast("double") / _STEPS for k in ("s1", "s24")},
+        "home": F.when(F.struct("t", "seq") >= F.struct("first_home.t", "first_home.seq"), F.col("first_home.country")),
         "opened": F.col("first_txn.t"),
-    }).drop(*["d_" + k for k in moves], "sum_dev", "sum_dev2", "ord")
+    }).drop(*["d_" + k for k in moves], "s1_part", "s24_part", "sum_dev", "sum_dev2", "ord")
 
     # personal peaks: a row's own counts become readable one hour later
     done = F.array(
@@ -302,8 +307,8 @@ def _finish(raw: DataFrame, s: Settings) -> DataFrame:
         "peak_1h": F.coalesce(dbl("peak_1h"), F.lit(0.0)),
         "history_n": dbl("n"),
     }
-    drop = [c for c in (*_RAW, "t", "acc", "tok", "txns_before", CHUNK, "first_txn", "center",
-                        "_lo", "_width", "_chunks", "ord", "p5", "p1", "home_country", "account_open")
+    drop = [c for c in (*_RAW, "t", "acc", "tok", "txns_before", CHUNK, "first_txn", "first_home", "center",
+                        "_cuts", "ord", "p5", "p1", "home_country", "account_open")
             if c in raw.columns and c not in feats]
     return raw.withColumns(feats).drop(*drop)
 
@@ -330,13 +335,13 @@ def profile_features(
     gate = (F.col("label") == 0) if accepted is None else accepted
     e = prepare(events, gate)
     grid = hot_keys(e.select("cust_id", "t"), ["cust_id"], "t", settings.hot_rows)
+    # one exchange by customer: windows by (customer, merchant) and the like need only sorts behind it
     if grid is None:
-        raw = _cold(_with_home(e, customers), early_logins)
+        raw = _cold(_with_home(e.repartition("cust_id"), customers), early_logins)
     else:
         names = grid.select("cust_id")
-        cold = _cold(_with_home(e.join(names, "cust_id", "left_anti"), customers), early_logins)
-        # at most one dimension row per hot customer: small by construction
-        few = None if customers is None else F.broadcast(customers.join(names, "cust_id", "left_semi"))
+        cold = _cold(_with_home(e.join(names, "cust_id", "left_anti").repartition("cust_id"), customers), early_logins)
+        few = None if customers is None else customers.join(names, "cust_id", "left_semi")
         hot = _hot(_with_home(e.join(names, "cust_id", "left_semi"), few), grid, early_logins)
         shared = [c for c in cold.columns if c in hot.columns]
         raw = cold.select(shared).unionByName(hot.select(shared))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
-_BROADCAST_KEYS = 200_000  # a hot-key list beyond this is joined by shuffle instead
+_BROADCAST_KEYS = 20_000  # a hot-key list beyond this is joined by shuffle instead
+_MOST_CHUNKS = 128
 
 
 @dataclass(frozen=True)
@@ -51,41 +52,37 @@ class Fold:
 
 
 def hot_keys(df: DataFrame, keys: list[str], t: str, hot_rows: int) -> DataFrame | None:
-    """Keys above ``hot_rows`` with the geometry of their time chunks, or None.
+    """Keys above ``hot_rows`` with the times at which they are cut, or None.
 
-    At most count(df) / hot_rows rows.  The chunk grid spans the 0.1 % to 99.9 % quantiles,
-    so a stray timestamp cannot squeeze the rest of the key into one chunk.
+    At most count(df) / hot_rows rows.  Cuts are quantiles of the key's rows, so a burst is cut as finely as its rows demand;
+    there are ``_MOST_CHUNKS`` at most, beyond which chunks grow with the key.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     n = counts.count()
     if n == 0:
         return None
     small = F.broadcast(counts) if n <= _BROADCAST_KEYS else counts
+    marks = [k / _MOST_CHUNKS for k in range(1, _MOST_CHUNKS)]
     span = (
         df.join(small.select(*keys), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(t, [0.001, 0.999], 1000).alias("_q"))
-    )
-    chunks = F.ceil(F.col("_n") / F.lit(float(hot_rows)))
-    out = span.select(
-        *keys,
-        F.col("_q")[0].alias("_lo"),
-        F.greatest(F.floor((F.col("_q")[1] - F.col("_q")[0]) / chunks), F.lit(1)).alias("_width"),
-        chunks.cast("long").alias("_chunks"),
+        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(t, marks, 20 * _MOST_CHUNKS).alias("_q"))
     )
+    chunks = F.least(F.ceil(F.col("_n") / F.lit(float(hot_rows))), F.lit(_MOST_CHUNKS)).cast("int")
+    every = F.transform(F.sequence(F.lit(1), chunks - 1), lambda k: F.get("_q", (k * _MOST_CHUNKS / chunks).cast("int") - 1))
+    out = span.select(*keys, F.array_distinct(F.when(chunks > 1, every).otherwise(F.array().cast("array<bigint>"))).alias("_cuts"))
     return F.broadcast(out) if n <= _BROADCAST_KEYS else out
 
 
 def chunk_of(t: Column) -> Column:
-    """Chunk number of a time under the grid columns of ``hot_keys``; NULL for a cold key."""
-    raw = F.floor((t - F.col("_lo")) / F.col("_width"))
-    return F.least(F.greatest(raw, F.lit(-1)), F.col("_chunks")).cast("long")
+    """Chunk number of a time under the cuts of ``hot_keys``; NULL for a cold key."""
+    return F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < t))).cast("long")
 
 
 def with_chunks(df: DataFrame, keys: list[str], t: str, hot: DataFrame | None) -> DataFrame:
     if hot is None:
         return df.withColumn(CHUNK, F.lit(None).cast("long"))
-    return df.join(hot, keys, "left").withColumn(CHUNK, chunk_of(F.col(t))).drop("_lo", "_width", "_chunks")
+    return df.join(hot, keys, "left").withColumn(CHUNK, chunk_of(F.col(t))).drop("_cuts")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], folds: list[Fold], chunked: bool) -> DataFrame:
@@ -101,7 +98,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], folds: list[Fold],
     )
     wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*part, *[f.carry(wc).alias("_c_" + f.name) for f in folds])
-    joined = out.join(carry, part, "left")
+    # NULL keys carry over like any other
+    right = carry.select(*[F.col(c).alias("_k_" + c) for c in part], *[c for c in carry.columns if c not in part])
+    same = F.col(CHUNK) == F.col("_k_" + CHUNK)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col("_k_" + c))
+    joined = out.join(right, same, "left")
     names = {f.name for f in folds}
     return joined.select(
         *[c for c in out.columns if c not in names],

@@ -129,3 +129,21 @@ def test_ring_device_is_seen_by_the_next_customer(spark):
     rows += [txn(6000, 2000 + 5 * 86400, cust="next", device_id="ring", card_bin="bn")]
     f = by_seq(entity_features(frame(spark, rows)), ["device_fraud_rate", "device_customer_fanout", "prior"])[6000]
     assert f["device_fraud_rate"] > 10 * f["prior"] and f["device_customer_fanout"] == 3.0
+
+
+def test_both_routes_agree_on_missing_keys_ties_and_extreme_amounts(spark):
+    rows = random_rows(seed=21, n=160, customers=3)
+    for k, r in enumerate(rows):
+        if r["type"] == "txn":
+            r["merchant_id"], r["country"], r["device_id"] = (None if k % 3 == j else r[c] for j, c in enumerate(("merchant_id", "country", "device_id")))
+            r["amount"] = {0: 1e-7, 1: 2e14, 2: 3.3e-3}.get(k % 7, r["amount"])
+            r["t"] = float(int(r["t"] / 900) * 900)
+    names = [c for c in PROFILE_COLUMNS if c != "amount_z"] + ["peak_5m", "peak_1h"]
+    cold, hot = (by_seq(profile_features(frame(spark, rows), settings=DEFAULT.with_(hot_rows=n)), names) for n in (10**9, 10))
+    close(hot, {s: r.asDict() for s, r in cold.items()}, names)
+    assert any(r["distinct_merchants_24h"] > 0 for r in cold.values())
+
+
+def test_cold_profile_windows_share_one_exchange(spark):
+    plan = profile_features(frame(spark, random_rows(n=30)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
