@@ -40,9 +40,11 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def markdown_table(report: DataFrame, limit: int = 200) -> str:
-    """A report table (tens of rows) as Markdown text."""
-    rows = report.limit(limit).collect()
+def markdown_table(report: DataFrame, most: int = 10_000) -> str:
+    """A report table (tens of rows) as Markdown text; a table of more than ``most`` rows is no report and raises."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; write it as a table instead")
     cell = lambda v: "n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     head = report.columns
     lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frisk.functions.expr import lookup
@@ -71,22 +73,32 @@ def map_headers(columns: list[str]) -> dict[str, str]:
 
 
 def sniff_delimiter(header: str) -> str:
-    """The most frequent of comma, semicolon and tab in the header line."""
-    return max((",", ";", "\t"), key=header.count)
+    """The most frequent of comma, semicolon and tab in the header line, quoted names left out."""
+    bare = re.sub(r'"[^"]*"', "", header)
+    return max((",", ";", "\t"), key=bare.count)
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """The file as strings plus ``row_no`` (header = 1).
+def read_upload(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """The files as strings plus ``row_no`` (line in its file, header = 1) and ``row_id`` (unique in the delivery).
 
-    Row numbers need file order: one file is one partition here, numbered as it is read, and a
-    larger delivery arrives as many files, each numbered on its own.
+    Ids are exact however files are split: a row's place inside its split, plus the counted rows of the splits before it in
+    the file and of the files before it.  ``line_breaks`` allows quoted line breaks, which keeps a file in one task (it is
+    streamed); without them large files are split.
     """
     header = spark.read.text(path).limit(1).first()["value"].lstrip("\ufeff")
-    sep = sniff_delimiter(header)
-    raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
-    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
-    part = F.monotonically_increasing_id()
-    return raw.withColumn("row_no", part.bitwiseAND(F.lit((1 << 33) - 1)) + 2)
+    raw = (spark.read.option("header", True).option("sep", sniff_delimiter(header)).option("inferSchema", False)
+           .option("multiLine", line_breaks).option("quote", '"').option("escape", '"').csv(path))
+    names = [c.lstrip("\ufeff").strip('"') for c in raw.columns]
+    at = F.col("_metadata")
+    raw = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names)], at["file_path"].alias("_file"),
+                     at["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    splits = raw.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_n"))  # one row a file, so one task may order them
+    before = files.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_files"))
+    base = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_rows")).join(before, "_file")
+    place = F.col("_at") - F.col("_first") + F.col("_rows") + 2
+    return raw.join(base, ["_file", "_block"]).select(*[F.col(f"`{n}`") for n in names], place.alias("row_no"), (place + F.col("_files")).alias("row_id"))
 
 
 def parse_time(raw: Column) -> Column:
@@ -105,10 +117,11 @@ def _shape(raw: Column, fmt: str) -> Column:
 
 def validate(raw: DataFrame, now: Column | None = None, order: str = "row_no") -> DataFrame:
     """Every row with its canonical fields and ``error`` (NULL = valid): the first failing check."""
-    cols = map_headers([c for c in raw.columns if c != order])
+    cols = map_headers([c for c in raw.columns if c not in (order, "row_id")])
+    row_id = F.col("row_id" if "row_id" in raw.columns else order).cast("long")
     get = lambda f: F.trim(F.coalesce(F.col(f"`{cols[f]}`").cast("string"), F.lit(""))) if f in cols else F.lit("")
     say = lambda *p: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in p])
-    d = raw.select(F.col(order).cast("long").alias("row_no"), *[get(f).alias("r_" + f) for f in HEADERS])
+    d = raw.select(F.col(order).cast("long").alias("row_no"), row_id.alias("row_id"), *[get(f).alias("r_" + f) for f in HEADERS])
     c = F.col
     money = F.trim(F.regexp_replace("r_amount", ",|₹|INR", ""))
     d = d.withColumns({"money": money, "amount": money.try_cast("double")})
@@ -128,7 +141,7 @@ def validate(raw: DataFrame, now: Column | None = None, order: str = "row_no") -
         end = F.current_timestamp() if now is None else now
         total = raw.agg(F.count(F.lit(1)).alias("rows_total"))
         d = d.crossJoin(F.broadcast(total))  # one row
-        share = 86400.0 * (c("row_no") - 2) / F.greatest("rows_total", F.lit(1))
+        share = 86400.0 * (c("row_id") - 2) / F.greatest("rows_total", F.lit(1))
         d = d.withColumn("ts", F.timestamp_micros((F.unix_micros(end) + (share - 86400.0) * 1_000_000).cast("long"))).drop("rows_total")
         time_check = F.lit(None).cast("string")
     outside = ~(c("lat_in").between(-90, 90) & c("lon_in").between(-180, 180))
@@ -150,7 +163,7 @@ def validate(raw: DataFrame, now: Column | None = None, order: str = "row_no") -
     at = lambda i: F.coalesce(lookup({k: v[i] for k, v in CITIES.items()}, city), F.lit(CITIES[DEFAULT_CITY][i]))
     or_else = lambda col, text: F.when(c(col) != "", c(col)).otherwise(text)
     return d.select(
-        "row_no", error.alias("error"), "ts", c("r_cust_id").alias("cust_id"), F.round("amount", 2).alias("amount"), "mcc", "channel",
+        "row_no", "row_id", error.alias("error"), "ts", c("r_cust_id").alias("cust_id"), F.round("amount", 2).alias("amount"), "mcc", "channel",
         or_else("r_merchant_id", F.concat(F.lit("merchant_"), "mcc")).alias("merchant_id"), c("r_beneficiary").alias("beneficiary"),
         F.upper(or_else("r_country", F.lit("IN"))).alias("country"), c("r_city").alias("city"),
         F.when(has_geo, c("lat_in")).otherwise(at(0)).alias("lat"), F.when(has_geo, c("lon_in")).otherwise(at(1)).alias("lon"),
@@ -161,7 +174,7 @@ def validate(raw: DataFrame, now: Column | None = None, order: str = "row_no") -
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, errors): canonical events with ``labelled``; (row, error) of the rest."""
     ok = checked.filter("error IS NULL").withColumns({
-        "seq": F.col("row_no"), "label": F.coalesce("known_label", F.lit(0)), "scenario": F.lit("upload"), "card_bin": F.lit("?")})
+        "seq": F.col("row_id"), "label": F.coalesce("known_label", F.lit(0)), "scenario": F.lit("upload"), "card_bin": F.lit("?")})
     events = canonical(ok.withColumn("labelled", F.col("known_label").isNotNull()), "labelled")
     errors = checked.filter("error IS NOT NULL").select(F.col("row_no").alias("row"), "error")
     return events, errors

@@ -165,3 +165,34 @@ def test_sinks(spark, scratch):
     assert "| action | count |" in sinks.markdown_table(ev.groupBy("action").count())
     sinks.save_snapshot(sinks.profile_snapshot(ev), ev.limit(1), f"{scratch}/s")
     assert spark.read.parquet(f"{scratch}/s/profiles").count() == ev.filter("label = 0").select("cust_id").distinct().count()
+
+
+def test_upload_row_ids_are_unique_however_files_are_split(spark, scratch):
+    import os
+    os.makedirs(f"{scratch}/many")
+    for k in range(3):
+        with open(f"{scratch}/many/{k}.csv", "w") as f:
+            f.write("customer;amount;note\n" + "".join(f"c{k}_{j};{j + 1};x\n" for j in range(200)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        for breaks in (True, False):
+            rows = upload.read_upload(spark, f"{scratch}/many", breaks).collect()
+            assert sorted(r["row_id"] for r in rows) == list(range(2, 602))
+            assert all(int(r["amount"]) == r["row_no"] - 1 for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    events, errors = upload.split(upload.validate(upload.read_upload(spark, f"{scratch}/many")))
+    assert events.select("seq").distinct().count() == 600 and errors.count() == 0
+
+
+def test_upload_header_with_mark_quotes_and_line_breaks(spark, scratch):
+    path = write(scratch, "q.csv", '\ufeff"customer";"amount";"merchant, name, long, list"\nc1;5;"two\nlines"\nc2;6;"a ""b"""\n')
+    rows = upload.read_upload(spark, path).orderBy("row_id").collect()
+    assert [(r["customer"], r["amount"], r["row_no"]) for r in rows] == [("c1", "5", 2), ("c2", "6", 3)]
+    assert [r["merchant, name, long, list"] for r in rows] == ["two\nlines", 'a "b"']
+
+
+def test_a_long_report_is_not_cut(spark):
+    assert sinks.markdown_table(spark.range(300)).count("\n") == 301
+    with pytest.raises(ValueError):
+        sinks.markdown_table(spark.range(300), most=200)
