@@ -8,6 +8,8 @@ time and ends at the sequential answer.  Only customers that changed enter the n
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,13 @@ def let_through(label_known: Column | None = None, verified: Column | None = Non
 
 
 def run_gate(events: DataFrame, scorer: Scorer, threshold: float, customers: DataFrame | None = None,
-             s: Settings = DEFAULT, max_passes: int = 60, accepted_rule: Column | None = None,
+             s: Settings = DEFAULT, max_passes: int | None = None, accepted_rule: Column | None = None,
              confirms: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """Scored cases under the engine's own gate, plus ``accepted``.
 
     Rows of ``events`` with a non-NULL ``settled`` column keep that decision (earlier batches).
-    Raises when ``max_passes`` do not reach the fixpoint: a half-settled table is not a result.
+    Every pass settles at least one more row of each moving customer, so passes end by themselves; only moving customers are
+    computed again.  A given ``max_passes`` raises when it is reached: a half-settled table is not a result.
     """
     rule = let_through() if accepted_rule is None else accepted_rule
     entities = kept(entity_features(events.filter("type = 'txn'"), s, confirms) if entities is None else entities)
@@ -42,7 +45,7 @@ def run_gate(events: DataFrame, scorer: Scorer, threshold: float, customers: Dat
     start = F.coalesce("settled", F.col("label") == 0)
     open_events = kept(events.withColumn("_accepted", F.when(F.col("type") == "txn", start)))
     done = None
-    for _ in range(max_passes):
+    for _ in count() if max_passes is None else range(max_passes):
         rows = profile_features(open_events, customers, F.col("_accepted"), s).join(entities, "seq")
         cases = scored_cases(rows, scorer, threshold, s).withColumn("accepted", F.coalesce("settled", rule))
         cases = kept(cases)

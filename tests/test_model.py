@@ -78,3 +78,22 @@ def test_feedback_adjustment_is_capped_and_silent_at_first(spark, table):
     few = log.orderBy("log_id").limit(3)
     assert feedback_adjust.fit_adjustment(few, cases) is None
     assert feedback_adjust.with_adjustment(cases, None).filter("online_adjustment <> 0").count() == 0
+
+
+def test_medians_are_exact_at_every_size(spark):
+    from statistics import median
+
+    from frisk.ml.model import medians
+    rng = random.Random(3)
+    rows = [(rng.gauss(0, 1), float(rng.randrange(3)), None if k % 2 else float(k), float(k == 7)) for k in range(5001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    want = {c: median(r[i] for r in rows if r[i] is not None) for i, c in enumerate("abcd")}
+    for most in (10**9, 2000):
+        assert medians(df, list("abcd"), 5001, most) == want
+    assert medians(df.filter("a > 1e9"), ["a"], 0) == {"a": 0.0}
+
+
+def test_forest_draws_from_the_whole_table(spark):
+    df = spark.range(20_000).selectExpr("id AS seq", "cast(id AS double) AS x")
+    cuts = [n[3] for n in iforest.fit(df, ["x"], trees=16, sample=64).nodes if n[2] >= 0]
+    assert min(cuts) < 1500 and max(cuts) > 18_500
