@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frisk.functions.keep import stored
+from frisk.functions.keep import Scratch
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
+def _smallest(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, m): the smallest neighbour of each node, written so that the join behind it sees its size and can split hot nodes."""
-    return stored(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return scratch.keep(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): the smallest id of each component, for every id that ``links`` (a, b) name.
 
-    Repeated and reversed links change nothing; a link of an id with itself is ignored.  Steps repeat until the edges stay the same.
+    The result reads the last of the tables in ``scratch``.  Repeated and reversed links change nothing; a link of an id with itself is ignored.  Steps repeat until the edges stay the same.
     """
-    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _smallest(both)
-        large = stored(both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
-        root = _smallest(large)
+        near = _smallest(both, scratch)
+        large = scratch.keep(both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+        root = _smallest(large, scratch)
         small = large.join(root, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        edges = scratch.keep(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frisk.functions.keep import stored
 from frisk.llm.rows import slices
 
 BUCKETS, DIMENSIONS, SIZES = 1 << 13, 16, (2, 3, 4)
@@ -140,7 +141,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = usable.groupBy("lang").count()
+    sizes = stored(usable.groupBy("lang").count())  # own table: known to be small, so texts are not shuffled by language
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
     drawn = usable.join(sizes, "lang").filter(place * F.col("count") < per_language).drop("count")
 

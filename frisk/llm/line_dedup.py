@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frisk.functions.keep import stored
+from frisk.functions.keep import Scratch, stored
 from frisk.llm.rows import SPACE, ascii_lower, text_key
 
 MIN_CHARS, MIN_DOCUMENTS = 40, 5
@@ -58,11 +58,15 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bitmap; rows with one id and different texts are told apart by the text's hash, and count as one document.
     Null ids are one document, smaller than all others.  An empty table gives an empty result.
     """
-    lines = stored(line_table(docs, id_col, text_col, min_chars))
-    lost = lines.join(repeated_keys(lines, min_documents), ["h1", "h2"]).filter(~F.col("__id").eqNullSafe(F.col("keeper")))
+    scratch = Scratch(docs.sparkSession)
+    lines = scratch.keep(line_table(docs, id_col, text_col, min_chars))
+    common = scratch.keep(repeated_keys(lines, min_documents))  # own table: its size is known to the join, which can split a hot key
+    lost = lines.join(common, ["h1", "h2"]).filter(~F.col("__id").eqNullSafe(F.col("keeper")))
     words = lost.groupBy(*_ID, (F.col("pos") / 64).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return words.groupBy(*_ID).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"))
+    bitmaps = stored(words.groupBy(*_ID).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops")))
+    scratch.clear()
+    return bitmaps
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

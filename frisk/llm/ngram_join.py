@@ -24,13 +24,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frisk.functions.keep import stored
+from frisk.functions.keep import Scratch, stored
 from frisk.llm.components import components
 from frisk.llm.rows import slices
 
+SPARE = 2
+BROADCAST_IDS = 1_000_000  # 16 bytes each
 SMALL, REFERENCE_ROWS = 12, 16  # buckets up to SMALL members are paired directly; about so many rows vote on a reference set
 
 
@@ -111,41 +113,60 @@ def set_hash(grams: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(grams: np.ndarray, rule: Similarity) -> np.ndarray:
-    """The set's signatures for its own band and for the next one."""
+    """The set's signatures for its own band and for the next one.
+
+    Where subsets are single second-level parts there are ``SPARE`` parts more than needed, so linked sets agree on more than
+    ``SPARE`` of them.  Parts without an element say nothing and are left out by sets that have ``SPARE`` of them at most:
+    such a set agrees with every linked one on a part that has elements.
+    """
     number, own, following = rule.band(len(grams))
+    scrambled, weights = _mix(grams, 21), _mix(grams, 22)
     out = []
     for instance, largest in ((number, own), (number + 1, following)):
         k = rule.most_different(2 * largest)
-        n1 = -(-(k + 1) // (rule.k2 + 1))
-        k2 = -(-(k + 1) // n1) - 1
+        if k == 0:
+            out.append(_mix(weights.sum(dtype="uint64", keepdims=True), 40 + instance))
+            continue
+        single = rule.n2 == rule.k2 + 1
+        n1 = -(-(k + 1 + SPARE * single) // (rule.k2 + 1))
+        k2 = rule.k2 if single else -(-(k + 1) // n1) - 1
         n2 = rule.n2 if k2 == rule.k2 else k2 + 1
-        scrambled = _mix(grams, 21)
-        cell = (scrambled >> np.uint64(40)) % np.uint64(n1) * np.uint64(n2) + (scrambled & np.uint64(0xFFFFFF)) % np.uint64(n2)
-        sums = np.zeros(n1 * n2, "uint64")
-        np.add.at(sums, cell.astype("int64"), _mix(grams, 22))
+        cell = ((scrambled >> np.uint64(40)) % np.uint64(n1) * np.uint64(n2) + (scrambled & np.uint64(0xFFFFFF)) % np.uint64(n2)).astype("int64")
+        sums, held = np.zeros(n1 * n2, "uint64"), np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+        np.add.at(sums, cell, weights)
         grid = sums.reshape(n1, n2)
+        drop_empty = n2 == k2 + 1 and n1 * n2 > k + SPARE and (held == 0).sum() <= SPARE
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
-            name = _mix(np.arange(n1, dtype="uint64") + np.uint64(((instance + 1) << 40) + (c << 32)), 23)
-            total = name
+            total = _mix(np.arange(n1, dtype="uint64") + np.uint64(((instance + 1) << 40) + (c << 32)), 23)
             for part in chosen:
                 total = _mix(total + grid[:, part], 24 + part)
-            out.append(total)
+            out.append(total[held[:, chosen].sum(axis=1) > 0] if drop_empty else total)
     return np.concatenate(out).astype("int64")
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the set's hashes in a power of two of bits, one to two bits an element, as 64-bit words.
+
+    Two sketches differ in no more bits than their sets differ in elements, so a difference that is too large rules a pair out.
+    """
+    bits = max(64, 1 << len(grams).bit_length())
+    odd = np.bincount((_mix(grams, 31) & np.uint64(bits - 1)).astype("int64"), minlength=bits) & 1
+    return np.packbits(odd.astype("uint8"), bitorder="little").view("int64")
+
+
 # --- stages --------------------------------------------------------------------------------
 
-_BASE = "id long, n long, h1 long, h2 long, sigs array<long>"
+_BASE = "id long, n long, h1 long, h2 long, sigs array<long>, sketch array<long>"
 
 
-def signed(docs: DataFrame, rule: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, h1, h2, sigs) per row, stored; sets that a task has seen before have no signatures again, their hashes tell them."""
+def signed(docs: DataFrame, rule: Similarity, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(id, n, h1, h2, sigs, sketch) per row, written; sets that a task has seen before have no signatures again, their hashes tell them."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         seen = set()
         for batch in slices(batches, "text", 4 << 20):
-            out, flat, ends = [[] for _ in range(4)], [np.empty(0, "int64")], [0]
+            out, flat, ends, sketches = [[] for _ in range(4)], [np.empty(0, "int64")], [0], []
             for i, text in zip(*[c.to_pylist() for c in batch.columns]):
                 grams = shingles(text, rule.words)
                 key = (len(grams), *set_hash(grams))
@@ -155,11 +176,13 @@ def signed(docs: DataFrame, rule: Similarity, id_col: str, text_col: str) -> Dat
                     ends.append(ends[-1] + len(flat[-1]))
                 else:
                     ends.append(ends[-1])
+                sketches.append(sketch(grams))
                 for column, value in zip(out, (i, *key)):
                     column.append(value)
             sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out), sigs], names=["id", "n", "h1", "h2", "sigs"])
-    return stored(rows.mapInArrow(run, _BASE))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out), sigs, pa.array(sketches, pa.list_(pa.int64()))],
+                                             names=["id", "n", "h1", "h2", "sigs", "sketch"])
+    return scratch.keep(rows.mapInArrow(run, _BASE))
 
 
 def _shared(sigs: DataFrame) -> DataFrame:
@@ -189,24 +212,46 @@ def _shared(sigs: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, "b long, id long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, rule: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, grams) of the documents in ``ids``, stored."""
+def _sets(docs: DataFrame, ids: DataFrame, rule: Similarity, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(id, n, grams) of the documents in ``ids``, written.  Ids are broadcast up to ``BROADCAST_IDS``, counted before; beyond that texts are shuffled."""
+    ids = scratch.keep(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "id", "left_semi")
 
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
             grams = [shingles(t, rule.words).astype("int64") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, grams), pa.int64()), pa.array(grams, pa.list_(pa.int64()))], names=["id", "n", "grams"])
-    return stored(rows.mapInArrow(run, "id long, n long, grams array<long>"))
+    return scratch.keep(rows.mapInArrow(run, "id long, n long, grams array<long>"))
+
+
+def _bits_apart(x: str, y: str) -> Column:
+    """In how many bits two sketches differ; the longer one is folded (sizes of candidates differ by a factor of two at most)."""
+    def fold(mine, other):
+        half = F.size(other)
+        return F.when(F.size(mine) > half, F.zip_with(F.slice(mine, 1, half), F.slice(mine, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(mine))
+    return F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFrame:
+    """``pairs`` (x, y) that their sizes and sketches do not rule out."""
+    a, b = rule.differ
+    both = pairs
+    for c in "xy":
+        both = both.join(sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+    near = F.least("nx", "ny") * 100 >= rule.percent * F.greatest("nx", "ny")
+    # sizes further apart could not be folded onto each other, hence the condition inside the expression
+    return both.filter(F.when(near & (F.size("sx") <= 2 * F.size("sy")) & (F.size("sy") <= 2 * F.size("sx")),
+                              b * _bits_apart("sx", "sy") <= a * (F.col("nx") + F.col("ny"))).otherwise(near)).select("x", "y")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
-    """``pairs`` (x, y) with ``linked``: the exact test on both sets."""
+    """The ``pairs`` (x, y) that pass the exact test on both sets."""
     def side(c):
         return sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("grams").alias(f"g{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     common = F.size(F.array_intersect("gx", "gy"))
-    return both.select("x", "y", (100 * common >= rule.percent * (F.col("nx") + F.col("ny") - common)).alias("linked"))
+    return both.filter(100 * common >= rule.percent * (F.col("nx") + F.col("ny") - common)).select("x", "y")
 
 
 def _direct(buckets: DataFrame) -> DataFrame:
@@ -228,23 +273,23 @@ def _reference(large: DataFrame, sets: DataFrame) -> DataFrame:
     return voters.join(sets.select("id", "grams"), "id").groupBy("b").applyInArrow(vote, "b long, reference array<long>")
 
 
-def _next_level(large: DataFrame, sets: DataFrame, rule: Similarity) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs with the middle member of each large bucket, and the next level's buckets (b, id, far)."""
+def _next_level(large: DataFrame, sets: DataFrame, sketches: DataFrame, rule: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Linked pairs with the middle member of each large bucket, and the next level's buckets (b, id, far)."""
     a, b = rule.differ
-    votes = stored(_reference(large, sets).withColumn("g", F.xxhash64("reference")))
+    votes = scratch.keep(_reference(large, sets).withColumn("g", F.xxhash64("reference")))
     refs = votes.groupBy("g").agg(F.first("reference").alias("reference"))  # buckets with one reference are one group
     # a bucket without a voter has the empty reference
     none = F.coalesce(F.col("g"), F.lit(0))
-    group = stored(large.join(votes.select("b", "g"), "b", "left").groupBy(none.alias("g"), "id").agg(F.max("far").alias("far")))
+    group = scratch.keep(large.join(votes.select("b", "g"), "b", "left").groupBy(none.alias("g"), "id").agg(F.max("far").alias("far")))
     member = group.join(sets, "id").join(refs, "g", "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<long>")))
     added, removed = F.array_except("grams", "reference"), F.array_except("reference", "grams")
-    diff = stored(member.select("g", "id", "far", "n", added.alias("added"), removed.alias("removed")))
+    diff = scratch.keep(member.select("g", "id", "far", "n", added.alias("added"), removed.alias("removed")))
     na, nr = F.size("added"), F.size("removed")
-    middle = stored(diff.groupBy("g").agg(F.min(F.struct((b * (na + nr) - a * F.col("n")).alias("f"), F.col("id").alias("m"))).alias("best"), F.min(na - nr).alias("d"))
+    middle = scratch.keep(diff.groupBy("g").agg(F.min(F.struct((b * (na + nr) - a * F.col("n")).alias("f"), F.col("id").alias("m"))).alias("best"), F.min(na - nr).alias("d"))
                     .select("g", F.col("best.m").alias("m"), "d"))
     star = group.join(middle, "g").filter("id <> m").select(F.col("id").alias("x"), F.col("m").alias("y")).distinct()
-    tested = stored(_linked(star, sets, rule))
-    known = tested.select(F.col("x").alias("id"), F.col("y").alias("m"), F.col("linked"))
+    tested = scratch.keep(_linked(_possible(star, sketches, rule), sets, rule))
+    known = tested.select(F.col("x").alias("id"), F.col("y").alias("m"), F.lit(True).alias("linked")).distinct()
     rows = diff.join(middle, "g").join(known, ["id", "m"], "left")
     # the middle itself is compared with all members already
     rows = rows.filter("id <> m").withColumn("far", F.col("far") & ~F.coalesce("linked", F.lit(False)))
@@ -257,29 +302,33 @@ def _next_level(large: DataFrame, sets: DataFrame, rule: Similarity) -> tuple[Da
     return tested, sub
 
 
-def _counted(buckets: DataFrame) -> DataFrame:
+def _counted(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     """Buckets of two or more members of which one is far, with their size."""
-    size = stored(buckets.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("any")).filter("members > 1 AND any").drop("any"))
-    return stored(buckets.join(size, "b"))
+    size = scratch.keep(buckets.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("any")).filter("members > 1 AND any").drop("any"))
+    return scratch.keep(buckets.join(size, "b"))
 
 
-def links(docs: DataFrame, base: DataFrame, classes: DataFrame, rule: Similarity, id_col: str, text_col: str) -> DataFrame:
+def links(docs: DataFrame, base: DataFrame, classes: DataFrame, rule: Similarity, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(a, b) between representatives of different sets: enough of them to connect every pair that is similar enough."""
-    shared = stored(_shared(base.select(F.explode("sigs").alias("b"), "id")))
+    shared = scratch.keep(_shared(base.select(F.explode("sigs").alias("b"), "id")))
     wanted = shared.select("id").distinct()
-    names = stored(base.select("id", "n", "h1", "h2").join(wanted, "id", "left_semi").join(classes, ["n", "h1", "h2"]).select("id", "rep").distinct())
-    buckets = shared.join(names, "id").select("b", F.col("rep").alias("id")).distinct().withColumn("far", F.lit(True))
-    buckets = _counted(buckets)
-    sets = _sets(docs, buckets.select("id").distinct(), rule, id_col, text_col)
-    found = []
+    names = scratch.keep(base.select("id", "n", "h1", "h2", "sketch").join(wanted, "id", "left_semi").join(classes, ["n", "h1", "h2"]).select("id", "rep", "n", "sketch"))
+    sketches = scratch.keep(names.select(F.col("rep").alias("id"), "n", "sketch").distinct())
+    buckets = shared.join(names.select("id", "rep").distinct(), "id").select("b", F.col("rep").alias("id")).distinct().withColumn("far", F.lit(True))
+    buckets = _counted(buckets, scratch)
+    found, sets = [], None
     while not buckets.isEmpty():
-        found.append(stored(_linked(_direct(buckets.filter(F.col("members") <= SMALL)), sets, rule).filter("linked")))
+        pairs = scratch.keep(_possible(_direct(buckets.filter(F.col("members") <= SMALL)), sketches, rule))
         large = buckets.filter(F.col("members") > SMALL)
+        if sets is None:  # later levels hold no other documents than this one's large buckets
+            ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).union(large.select("id")).distinct()
+            sets = _sets(docs, ids, rule, id_col, text_col, scratch)
+        found.append(scratch.keep(_linked(pairs, sets, rule)))
         if large.isEmpty():
             break
-        tested, below = _next_level(large, sets, rule)
-        found.append(tested.filter("linked"))
-        buckets = _counted(stored(below))
+        tested, below = _next_level(large, sets, sketches, rule, scratch)
+        found.append(tested)
+        buckets = _counted(scratch.keep(below), scratch)
     out = base.sparkSession.createDataFrame([], "a long, b long")
     for pairs in found:
         out = out.unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -292,11 +341,13 @@ def jaccard_groups(docs: DataFrame, rule: Similarity = Similarity(), id_col: str
     A text without words has an empty set and is linked with nothing.  Rows without an id link with nothing and have no
     component.  Repeated rows, and rows that share an id, are one document.  An empty table gives an empty result.
     """
-    base = signed(docs, rule, id_col, text_col)
+    scratch = Scratch(docs.sparkSession)
+    base = signed(docs, rule, id_col, text_col, scratch)
     some = base.filter("n > 0 AND id IS NOT NULL")
-    classes = stored(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")))
+    classes = scratch.keep(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")))
     same = some.join(classes, ["n", "h1", "h2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = links(docs, some, classes, rule, id_col, text_col).unionByName(same)
-    where = components(found)
-    out = base.select("id", "n").join(where, "id", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    found = links(docs, some, classes, rule, id_col, text_col, scratch).unionByName(same)
+    out = base.select("id", "n").join(components(found, scratch), "id", "left")
+    out = stored(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
+    scratch.clear()
+    return out

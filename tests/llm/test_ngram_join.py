@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from frisk.functions.keep import Scratch
 from frisk.llm import ngram_join as J
 from frisk.llm.components import components
 
@@ -83,6 +84,6 @@ def test_similar_sets_share_a_signature(rule):
 
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 130)] + [(5, 5), (7, 7), (130, 100), (50, 51), (51, 50)]
-    got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
+    got = dict(components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect())
     assert got == {k: 0 for k in range(21)} | {k: 100 for k in range(100, 131)} | {50: 50, 51: 50}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
