@@ -13,7 +13,7 @@ of both sizes that may differ.  All members are compared with m.  Two members th
 other pair |D(x)| + |D(y)| > s(|x| + |y|), so a link needs a common element of D(x) and D(y): those elements are the buckets of
 the next level.  D is split into added (A) and removed (R) elements; a pair without a common added element needs
 |A(x)| + |A(y)| + ||R(x)| - |R(y)|| <= s(|x| + |y|), so with d the smallest |A| - |R| of the bucket, only members with
-|D| + d <= s(|x| + |y|) have to be looked up by removed elements.  No candidate is capped or skipped.
+|D| + d <= s(|x| + |y|) have to be looked up by removed elements, and only by a prefix of them.  No candidate is capped or skipped.
 """
 
 from __future__ import annotations
@@ -262,25 +262,27 @@ def _direct(buckets: DataFrame) -> DataFrame:
 
 
 def _reference(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """(b, reference): what most of about ``REFERENCE_ROWS`` members hold."""
-    lot = F.greatest(F.lit(1), F.floor(F.col("members") / REFERENCE_ROWS))
-    voters = large.filter(F.pmod(F.xxhash64("b", "id"), lot) == 0).select("b", "id")
+    """(p, reference): what most of about ``REFERENCE_ROWS`` members hold."""
+    size = large.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    lot = F.greatest(F.lit(1), F.floor(F.col("n") / REFERENCE_ROWS))
+    voters = large.join(size, "p").filter(F.pmod(F.xxhash64("p", "id"), lot) == 0).select("p", "id")
 
     def vote(key: tuple, table: pa.Table) -> pa.Table:
         arrays = table.column("grams").combine_chunks()
         values, counts = np.unique(arrays.flatten().to_numpy(), return_counts=True)
-        return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), "reference": pa.array([values[2 * counts > len(arrays)]], pa.list_(pa.int64()))})
-    return voters.join(sets.select("id", "grams"), "id").groupBy("b").applyInArrow(vote, "b long, reference array<long>")
+        return pa.table({"p": pa.array([key[0].as_py()], pa.int64()), "reference": pa.array([values[2 * counts > len(arrays)]], pa.list_(pa.int64()))})
+    return voters.join(sets.select("id", "grams"), "id").groupBy("p").applyInArrow(vote, "p long, reference array<long>")
 
 
 def _next_level(large: DataFrame, sets: DataFrame, sketches: DataFrame, rule: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Linked pairs with the middle member of each large bucket, and the next level's buckets (b, id, far)."""
     a, b = rule.differ
+    large = scratch.keep(large.groupBy("p", "id").agg(F.max("far").alias("far")))  # groups, see _counted
     votes = scratch.keep(_reference(large, sets).withColumn("g", F.xxhash64("reference")))
-    refs = votes.groupBy("g").agg(F.first("reference").alias("reference"))  # buckets with one reference are one group
-    # a bucket without a voter has the empty reference
+    refs = votes.groupBy("g").agg(F.first("reference").alias("reference"))  # and so are those with one reference
+    # a group without a voter has the empty reference
     none = F.coalesce(F.col("g"), F.lit(0))
-    group = scratch.keep(large.join(votes.select("b", "g"), "b", "left").groupBy(none.alias("g"), "id").agg(F.max("far").alias("far")))
+    group = scratch.keep(large.join(votes.select("p", "g"), "p", "left").groupBy(none.alias("g"), "id").agg(F.max("far").alias("far")))
     member = group.join(sets, "id").join(refs, "g", "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<long>")))
     added, removed = F.array_except("grams", "reference"), F.array_except("reference", "grams")
     diff = scratch.keep(member.select("g", "id", "far", "n", added.alias("added"), removed.alias("removed")))
@@ -293,18 +295,25 @@ def _next_level(large: DataFrame, sets: DataFrame, sketches: DataFrame, rule: Si
     rows = diff.join(middle, "g").join(known, ["id", "m"], "left")
     # the middle itself is compared with all members already
     rows = rows.filter("id <> m").withColumn("far", F.col("far") & ~F.coalesce("linked", F.lit(False)))
-    reach = b * (na + nr + F.col("d")) <= a * (F.col("n") + F.floor(F.col("n") * 100 / rule.percent))
+    most = F.floor(a * (F.col("n") + F.floor(F.col("n") * 100 / rule.percent)) / b).cast("int")  # that any partner may differ by
+    reach = na + nr + F.col("d") <= most
+    # without a common added element |D| - most removed ones are common, so a prefix of the others and one more holds one of them
+    some = F.slice("removed", 1, F.greatest(F.lit(0), F.least(nr, most - na + 1)))
     keys = F.concat(F.transform("added", lambda e: F.xxhash64("g", F.lit(1), e)),
-                    F.when(reach, F.transform("removed", lambda e: F.xxhash64("g", F.lit(2), e))).otherwise(F.array().cast("array<long>")))
+                    F.when(reach, F.transform(some, lambda e: F.xxhash64("g", F.lit(2), e))).otherwise(F.array().cast("array<long>")))
     live = rows.groupBy("g").agg(F.max("far").alias("any")).filter("any").select("g")  # groups whose members all link to the middle are done
     sub = rows.join(live, "g", "left_semi").select(F.explode(F.array_distinct(keys)).alias("b"), "id", "far")
     sub = sub.groupBy("b", "id").agg(F.max("far").alias("far"))
     return tested, sub
 
 
-def _counted(buckets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Buckets of two or more members of which one is far, with their size."""
-    size = scratch.keep(buckets.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("any")).filter("members > 1 AND any").drop("any"))
+def _counted(buckets: DataFrame, scratch: Scratch, top: bool = False) -> DataFrame:
+    """Buckets of two or more members of which one is far, with their size and p, by which large ones are joined into groups.
+
+    Signatures of one family of documents overlap almost fully, so those with the same smallest member are one group.  Buckets of
+    later levels stay apart: joining them would undo the division.
+    """
+    size = scratch.keep(buckets.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("any"), (F.min("id") if top else F.col("b")).alias("p")).filter("members > 1 AND any").drop("any"))
     return scratch.keep(buckets.join(size, "b"))
 
 
@@ -315,7 +324,7 @@ def links(docs: DataFrame, base: DataFrame, classes: DataFrame, rule: Similarity
     names = scratch.keep(base.select("id", "n", "h1", "h2", "sketch").join(wanted, "id", "left_semi").join(classes, ["n", "h1", "h2"]).select("id", "rep", "n", "sketch"))
     sketches = scratch.keep(names.select(F.col("rep").alias("id"), "n", "sketch").distinct())
     buckets = shared.join(names.select("id", "rep").distinct(), "id").select("b", F.col("rep").alias("id")).distinct().withColumn("far", F.lit(True))
-    buckets = _counted(buckets, scratch)
+    buckets = _counted(buckets, scratch, top=True)
     found, sets = [], None
     while not buckets.isEmpty():
         pairs = scratch.keep(_possible(_direct(buckets.filter(F.col("members") <= SMALL)), sketches, rule))
