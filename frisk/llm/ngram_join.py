@@ -9,9 +9,10 @@ one signature; sets that agree on one are candidates, and every candidate is ver
 Signatures are dealt out by ranges of (signature, id), so a signature that very many documents share is spread over partitions.
 Documents with one signature are not paired with each other when there are many of them.  All sets of such a bucket are written as differences D to
 a reference set (what most of a few of them hold; any set is right).  Let m be the member with the smallest |D| - s|set|, s being the share
-of both sizes that may differ.  All members are compared with m.  Two members that both link to m are connected already; for any
-other pair |D(x)| + |D(y)| > s(|x| + |y|), so a link needs a common element of D(x) and D(y): those elements are the buckets of
-the next level.  D is split into added (A) and removed (R) elements; a pair without a common added element needs
+of both sizes that may differ.  All members that no links found so far connect with m are compared with it.  Two members that both link to
+m are connected then; for any other pair |D(x)| + |D(y)| > s(|x| + |y|), so a link needs a common element of D(x) and D(y): those
+elements are the buckets of the next level.  A pair is left out only if links found so far, of whatever bucket and level, connect
+the two (their components are kept up to date level by level), and a bucket only if they connect all of it.  D is split into added (A) and removed (R) elements; a pair without a common added element needs
 |A(x)| + |A(y)| + ||R(x)| - |R(y)|| <= s(|x| + |y|), so with d the smallest |A| - |R| of the bucket, only members with
 |D| + d <= s(|x| + |y|) have to be looked up by removed elements, and only by a prefix of them.  No candidate is capped or skipped.
 """
@@ -254,13 +255,32 @@ def _linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
     return both.filter(100 * common >= rule.percent * (F.col("nx") + F.col("ny") - common)).select("x", "y")
 
 
+def _own() -> Column:
+    """The component a member is in by the links found so far; one without a link is its own, stored as null."""
+    return F.coalesce("component", "id")
+
+
+def _parted() -> Column:
+    return F.min(_own()) < F.max(_own())
+
+
 def _direct(buckets: DataFrame) -> DataFrame:
-    """Pairs (x, y), x < y, of small buckets, at least one of them far."""
-    other = buckets.select("b", F.col("id").alias("y"), F.col("far").alias("fy"))
-    pairs = buckets.withColumnRenamed("id", "x").join(other, "b").filter("x < y AND (far OR fy)")
+    """Pairs (x, y), x < y, of small buckets that are not connected yet."""
+    members = buckets.select("b", "id", _own().alias("c"))
+    other = members.select("b", F.col("id").alias("y"), F.col("c").alias("cy"))
+    pairs = members.withColumnRenamed("id", "x").join(other, "b").filter("x < y AND c <> cy")
     return pairs.select("x", "y").distinct()
 
 
+def _connected(known: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) by the links behind ``known`` and by ``pairs`` (x, y)."""
+    own = Scratch(known.sparkSession)
+    links = known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = scratch.keep(components(links, own))
+    own.clear()
+    return out
+
+
 def _reference(large: DataFrame, sets: DataFrame) -> DataFrame:
     """(p, reference): what most of about ``REFERENCE_ROWS`` members hold."""
     size = large.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
@@ -274,46 +294,44 @@ def _reference(large: DataFrame, sets: DataFrame) -> DataFrame:
     return voters.join(sets.select("id", "grams"), "id").groupBy("p").applyInArrow(vote, "p long, reference array<long>")
 
 
-def _next_level(large: DataFrame, sets: DataFrame, sketches: DataFrame, rule: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Linked pairs with the middle member of each large bucket, and the next level's buckets (b, id, far)."""
+def _next_level(large: DataFrame, linked: DataFrame, known: DataFrame, sets: DataFrame, sketches: DataFrame, rule: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``known`` with this level's links, those with the middle member of each large bucket too, and the next level's buckets (b, id, component)."""
     a, b = rule.differ
-    large = scratch.keep(large.groupBy("p", "id").agg(F.max("far").alias("far")))  # groups, see _counted
+    large = scratch.keep(large.select("p", "id", "component").distinct())  # groups, see _counted
     votes = scratch.keep(_reference(large, sets).withColumn("g", F.xxhash64("reference")))
     refs = votes.groupBy("g").agg(F.first("reference").alias("reference"))  # and so are those with one reference
     # a group without a voter has the empty reference
     none = F.coalesce(F.col("g"), F.lit(0))
-    group = scratch.keep(large.join(votes.select("p", "g"), "p", "left").groupBy(none.alias("g"), "id").agg(F.max("far").alias("far")))
+    group = scratch.keep(large.join(votes.select("p", "g"), "p", "left").select(none.alias("g"), "id", "component").distinct())
     member = group.join(sets, "id").join(refs, "g", "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<long>")))
     added, removed = F.array_except("grams", "reference"), F.array_except("reference", "grams")
-    diff = scratch.keep(member.select("g", "id", "far", "n", added.alias("added"), removed.alias("removed")))
+    diff = scratch.keep(member.select("g", "id", "component", "n", added.alias("added"), removed.alias("removed")))
     na, nr = F.size("added"), F.size("removed")
-    middle = scratch.keep(diff.groupBy("g").agg(F.min(F.struct((b * (na + nr) - a * F.col("n")).alias("f"), F.col("id").alias("m"))).alias("best"), F.min(na - nr).alias("d"))
-                    .select("g", F.col("best.m").alias("m"), "d"))
-    star = group.join(middle, "g").filter("id <> m").select(F.col("id").alias("x"), F.col("m").alias("y")).distinct()
+    nearest = F.min(F.struct((b * (na + nr) - a * F.col("n")).alias("f"), F.col("id").alias("m"), _own().alias("c")))
+    middle = scratch.keep(diff.groupBy("g").agg(nearest.alias("best"), F.min(na - nr).alias("d")).select("g", "best.m", "best.c", "d"))
+    star = group.join(middle, "g").filter((F.col("id") != F.col("m")) & (_own() != F.col("c"))).select(F.col("id").alias("x"), F.col("m").alias("y")).distinct()
     tested = scratch.keep(_linked(_possible(star, sketches, rule), sets, rule))
-    known = tested.select(F.col("x").alias("id"), F.col("y").alias("m"), F.lit(True).alias("linked")).distinct()
-    rows = diff.join(middle, "g").join(known, ["id", "m"], "left")
-    # the middle itself is compared with all members already
-    rows = rows.filter("id <> m").withColumn("far", F.col("far") & ~F.coalesce("linked", F.lit(False)))
+    known = _connected(known, linked.unionByName(tested), scratch)
+    # the middle itself needs no further test: all others are compared or connected with it
+    rows = diff.drop("component").join(middle, "g").filter("id <> m").join(known, "id", "left")
     most = F.floor(a * (F.col("n") + F.floor(F.col("n") * 100 / rule.percent)) / b).cast("int")  # that any partner may differ by
     reach = na + nr + F.col("d") <= most
     # without a common added element |D| - most removed ones are common, so a prefix of the others and one more holds one of them
     some = F.slice("removed", 1, F.greatest(F.lit(0), F.least(nr, most - na + 1)))
     keys = F.concat(F.transform("added", lambda e: F.xxhash64("g", F.lit(1), e)),
                     F.when(reach, F.transform(some, lambda e: F.xxhash64("g", F.lit(2), e))).otherwise(F.array().cast("array<long>")))
-    live = rows.groupBy("g").agg(F.max("far").alias("any")).filter("any").select("g")  # groups whose members all link to the middle are done
-    sub = rows.join(live, "g", "left_semi").select(F.explode(F.array_distinct(keys)).alias("b"), "id", "far")
-    sub = sub.groupBy("b", "id").agg(F.max("far").alias("far"))
-    return tested, sub
+    live = rows.groupBy("g").agg(_parted().alias("parted")).filter("parted").select("g")  # groups whose members are all connected are done
+    sub = rows.join(live, "g", "left_semi").select(F.explode(F.array_distinct(keys)).alias("b"), "id", "component")
+    return known, sub.distinct()
 
 
 def _counted(buckets: DataFrame, scratch: Scratch, top: bool = False) -> DataFrame:
-    """Buckets of two or more members of which one is far, with their size and p, by which large ones are joined into groups.
+    """Buckets whose members are not all connected yet, with their size and p, by which large ones are joined into groups.
 
     Signatures of one family of documents overlap almost fully, so those with the same smallest member are one group.  Buckets of
     later levels stay apart: joining them would undo the division.
     """
-    size = scratch.keep(buckets.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("any"), (F.min("id") if top else F.col("b")).alias("p")).filter("members > 1 AND any").drop("any"))
+    size = scratch.keep(buckets.groupBy("b").agg(F.count(F.lit(1)).alias("members"), _parted().alias("parted"), (F.min("id") if top else F.col("b")).alias("p")).filter("parted").drop("parted"))
     return scratch.keep(buckets.join(size, "b"))
 
 
@@ -323,25 +341,23 @@ def links(docs: DataFrame, base: DataFrame, classes: DataFrame, rule: Similarity
     wanted = shared.select("id").distinct()
     names = scratch.keep(base.select("id", "n", "h1", "h2", "sketch").join(wanted, "id", "left_semi").join(classes, ["n", "h1", "h2"]).select("id", "rep", "n", "sketch"))
     sketches = scratch.keep(names.select(F.col("rep").alias("id"), "n", "sketch").distinct())
-    buckets = shared.join(names.select("id", "rep").distinct(), "id").select("b", F.col("rep").alias("id")).distinct().withColumn("far", F.lit(True))
+    buckets = shared.join(names.select("id", "rep").distinct(), "id").select("b", F.col("rep").alias("id")).distinct().withColumn("component", F.lit(None).cast("long"))
     buckets = _counted(buckets, scratch, top=True)
-    found, sets = [], None
+    none = base.sparkSession.createDataFrame([], "id long, component long")
+    known, last, sets = none, none.select(F.col("id").alias("x"), F.col("component").alias("y")), None
     while not buckets.isEmpty():
         pairs = scratch.keep(_possible(_direct(buckets.filter(F.col("members") <= SMALL)), sketches, rule))
         large = buckets.filter(F.col("members") > SMALL)
         if sets is None:  # later levels hold no other documents than this one's large buckets
             ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).union(large.select("id")).distinct()
             sets = _sets(docs, ids, rule, id_col, text_col, scratch)
-        found.append(scratch.keep(_linked(pairs, sets, rule)))
+        linked = scratch.keep(_linked(pairs, sets, rule))
         if large.isEmpty():
+            last = linked
             break
-        tested, below = _next_level(large, sets, sketches, rule, scratch)
-        found.append(tested)
+        known, below = _next_level(large, linked, known, sets, sketches, rule, scratch)
         buckets = _counted(scratch.keep(below), scratch)
-    out = base.sparkSession.createDataFrame([], "a long, b long")
-    for pairs in found:
-        out = out.unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return out
+    return known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(last.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def jaccard_groups(docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

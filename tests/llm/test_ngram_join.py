@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from frisk.functions.keep import Scratch
 from frisk.llm import ngram_join as J
@@ -87,3 +88,16 @@ def test_components_of_chains_and_stars(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect())
     assert got == {k: 0 for k in range(21)} | {k: 100 for k in range(100, 131)} | {50: 50, 51: 50}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_chain_of_crowds_is_one_component(spark):
+    """crowd - y - x - crowd: at one level only y links to the middle, at the next only x links to the next middle."""
+    first, u, v, w = ([f"{c}{k}" for k in range(size)] for c, size in (("a", 90), ("u", 15), ("v", 15), ("w", 15)))
+    last = first + u + v + w
+    sets = [first] + [first + [f"p{k}"] for k in range(40)] + [first + u, first + u + v, last] + [last + [f"q{k}"] for k in range(14)]
+    rows = [(k, " ".join(s)) for k, s in enumerate(sets)]
+    docs, rule, scratch = spark.createDataFrame(rows, "doc_id long, text string"), J.Similarity(1, 80), Scratch(spark)
+    base = J.signed(docs, rule, "doc_id", "text", scratch).withColumn("sigs", F.array(F.lit(1).cast("long")))  # all are candidates
+    classes = base.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    got = components(J.links(docs, base, classes, rule, "doc_id", "text", scratch), scratch)
+    assert sorted(map(tuple, got.collect())) == [(i, c) for i, _, c in sorted(_want(rows, 1, 80))]
