@@ -20,7 +20,7 @@ from frisk.llm.rows import slices
 #: fixed values: element names by their role in HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
-UNSEEN = frozenset("head script style template title meta link base noscript iframe noframes object audio video canvas svg math datalist select".split())
+UNSEEN = frozenset("head script style template title meta link base noscript iframe noframes object audio video canvas datalist select".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCK = PARAGRAPH | frozenset("html body div section article aside header footer nav main form fieldset address details summary li dt dd tr caption "
                               "figcaption center legend thead tbody tfoot td th hgroup menu dir".split())
@@ -34,20 +34,31 @@ IMPLIED = {
 }
 _FENCES = frozenset("table td th caption html button object".split())  # no end tag reaches over these unless it names one further out
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|type\s*=\s*["']?hidden|style\s*=\s*(?:"[^"]*?|'[^']*?)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
-_NUMBER = {a: re.compile(rf"""(?:^|\s){a}\s*=\s*["']?\s*(-?\d+)""", re.I) for a in ("start", "value", "colspan")}
-_ALT = re.compile(r"""(?:^|\s)alt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+_INTEGER = re.compile(r"\s*([+-]?\d+)")
+#: what no browser draws inside drawings and formulas: descriptions, and definitions where they stand; elsewhere these are unknown names
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask annotation annotation-xml".split())
 MAX_DEPTH = 400  # deeper elements become children of the one at this depth; their text stays
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes; of a repeated name the first counts, a name alone has the empty value."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        if name:
+            out.setdefault(name.lower(), unescape("".join(values)))
+    return out
+
+
 class Node:
-    __slots__ = ("name", "attrs", "children")
+    __slots__ = ("name", "attrs", "children", "drawn")
 
     def __init__(self, name: str, attrs: str = ""):
-        self.name, self.attrs, self.children = name, attrs, []
+        self.name, self.attrs, self.children, self.drawn = name, attributes(attrs) if attrs else {}, [], True
 
     def number(self, attribute: str, default: int) -> int:
-        found = _NUMBER[attribute].search(self.attrs)
+        found = _INTEGER.match(self.attrs.get(attribute, ""))
         return int(found[1][:9]) if found else default
 
 
@@ -91,6 +102,7 @@ def tree(html: str) -> Node:
         if name in BLOCK and name != "head" and stack[-1].name == "head":
             del stack[-1]
         node = Node(name, token[3])
+        node.drawn = name not in UNDRAWN or not any(n.name in ("svg", "math") for n in stack)
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -160,7 +172,21 @@ class _Lines:
 
 
 def _seen(node: Node) -> bool:
-    return node.name not in UNSEEN and not (node.attrs and _HIDDEN.search(node.attrs))
+    if node.name in UNSEEN or not node.drawn:
+        return False
+    a = node.attrs
+    return not a or not ("hidden" in a or a.get("aria-hidden", "").strip().lower() == "true" or _styled_away(a.get("style", "")))
+
+
+def _styled_away(style: str) -> bool:
+    """Of repeated declarations the last important one counts, or else the last."""
+    said = {}
+    for part in _COMMENT.sub("", style).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        if mark or not said.get(name.strip(), ("", ""))[1]:
+            said[name.strip()] = value.strip(), mark
+    return said.get("display", ("",))[0] == "none" or said.get("visibility", ("",))[0] == "hidden"
 
 
 def _inner(node: Node, keep: bool = False) -> list[str]:
@@ -197,8 +223,7 @@ def _lay(node: Node, to: _Lines, keep: bool = False) -> None:
         elif name == "hr":
             to.blank(2)
         elif name == "img":
-            found = _ALT.search(child.attrs)
-            to.words(unescape(next((g for g in found.groups() if g), "")) if found else "")
+            to.words(child.attrs.get("alt", ""))
         elif name == "table":
             to.blank(2)
             _emit(to, _table(child))
@@ -220,8 +245,11 @@ def _lay(node: Node, to: _Lines, keep: bool = False) -> None:
                 _lay(child, to, keep or name == "pre")
             to.blank(wide)
         else:
+            apart = name in ("text", "foreignobject")  # of a drawing: each stands at a place of its own
+            if apart:
+                to.words(" ")
             _lay(child, to, keep)
-            if name in ("td", "th"):
+            if apart or name in ("td", "th"):
                 to.words(" ")
 
 

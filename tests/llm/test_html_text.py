@@ -29,6 +29,22 @@ def test_layout(html):
     assert H.render(html) == CASES[html]
 
 
+SHOWN = {
+    '<p title="a hidden gem">yes</p>': "yes", '<div class="nav hidden md:flex">yes</div>': "yes", "<p data-note='was hidden in'>yes": "yes",
+    '<p title="type=hidden aria-hidden=true">yes': "yes", "<p title=\"style='display:none'\">yes": "yes", "<p data-hidden=1 id=hidden>yes": "yes",
+    '<p style="display:none; display:block">yes': "yes", '<p style="--x:display:none">yes': "yes", "<p title='x'HIDDEN>no</p>yes": "yes",
+    '<p class="a" hidden="">no</p><p style="visibility:hidden !important">no</p><p hidden=until-found>no</p>yes': "yes",
+    '<img title="alt=no" alt="yes">': "yes", '<ol data-x="start=7"><li>a</ol>': "1. a",
+    "a<svg><title>no</title><desc>no</desc><text>b</text><text>c</text><path d=x /></svg>d": "a b c d", "<desc>unknown</desc>": "unknown",
+    "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></semantics></math>": "x=1",
+}
+
+
+@pytest.mark.parametrize("html", SHOWN)
+def test_only_attributes_of_their_own_hide(html):
+    assert H.render(html) == SHOWN[html]
+
+
 class _Words(HTMLParser):
     """All words outside elements that are never shown; for pages without hidden attributes."""
 
