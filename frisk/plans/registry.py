@@ -632,7 +632,7 @@ def label_timing(spark, d):
 def evaluation_report(spark, d):
     from frisk.plans.evaluate import report_json, report_tables
     c = kept(cases(spark, d).withColumn("scenario", F.col("mcc")))
-    return report_json(report_tables(c, n_boot=200, reference=drift.score_histogram(c, "risk")))
+    return report_json(report_tables(c, reference=drift.score_histogram(c, "risk")))
 
 
 # --- sources: the tables re-read in each public layout ---------------------------------------------------
@@ -821,7 +821,7 @@ def train_model(spark, d):
     """Point-in-time training set, both heads, calibration, cut-off and out-of-time metrics."""
     from frisk.ml.model import train
     rows = kept(labels.with_training_weights(_features(spark, d)))
-    m = train(rows, max_iter=20, n_boot=50)
+    m = train(rows)
     picked = {k: m.meta[k] for k in ("n_samples", "n_fraud", "calibration_method", "roc_auc", "pr_auc", "brier_raw", "brier_calibrated", "cost_threshold")}
     return spark.createDataFrame([tuple(picked.values())], "n_samples long, n_fraud long, calibration_method string, roc_auc double, pr_auc double, "
                                  "brier_raw double, brier_calibrated double, cost_threshold double")

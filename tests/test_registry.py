@@ -1,3 +1,5 @@
+import importlib
+
 import duckdb
 import pytest
 
@@ -32,6 +34,19 @@ def test_every_statement_has_a_query(spark):
     assert entry.entry(spark).count() == 3
 
 
+@pytest.mark.parametrize("name,module,operator", [("train_model", "frisk.ml.model", "train"), ("evaluation_report", "frisk.plans.evaluate", "report_tables")])
+def test_query_runs_its_operator_with_all_rounds_and_resamples(spark, monkeypatch, name, module, operator):
+    class Called(Exception):
+        pass
+
+    def called(*_, **given):
+        raise Called(given)
+    monkeypatch.setattr(importlib.import_module(module), operator, called)
+    with pytest.raises(Called) as e:
+        entry.queries()[name](spark, SF)
+    assert not {"max_iter", "n_boot"} & set(e.value.args[0])
+
+
 def test_hot_route_plan_has_no_single_task_over_the_rows(spark):
     """Only bucket totals may be gathered in one partition, never the transactions."""
     from frisk.operators.entity import outcome_rows, running_prior
