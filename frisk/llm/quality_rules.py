@@ -7,6 +7,7 @@ the order decides the work, never the verdict.
 
 from __future__ import annotations
 
+import copy
 import re
 import time
 from collections import Counter
@@ -24,6 +25,7 @@ from frisk.llm.rows import slices
 #: fixed values
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _WHITE = b" \t\n\x0b\f\r"
 _UPPER, _ASCII = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile(r"[\x00-\x7f]+")
 
@@ -111,10 +113,12 @@ RULES = (
 )
 
 
-def measured(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", one_in: int = 64) -> DataFrame:
+def measured(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", one_in: int = 64,
+             counts: bool = True) -> DataFrame:
     """(rule, seconds, rejections) over a sample: documents whose id's hash is divisible by ``one_in``.
 
-    The sample grows with the table; only one row per rule and task leaves the executors.
+    The sample grows with the table; only one row per rule and task leaves the executors.  With ``counts`` the counts are there
+    before any rule runs and documents that fail the base reach none, as in ``apply_rules``.
     """
     chosen = docs.filter(F.xxhash64(F.col(id_col)) % one_in == 0).select(F.col(text_col).alias("text"))
 
@@ -122,8 +126,11 @@ def measured(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str
         spent, hit = [0.0] * len(rules), [0] * len(rules)
         for batch in slices(batches, "text"):
             for text in batch.column(0).to_pylist():
+                start = Text(text)
+                if counts and _counted(start)[-1]:
+                    continue
                 for k, rule in enumerate(rules):
-                    alone = Text(text)  # a rule pays for all that it needs
+                    alone = copy.copy(start)  # a rule pays for all that it needs and that is not there yet
                     t0 = time.perf_counter()
                     hit[k] += rule.rejects(alone)
                     spent[k] += time.perf_counter() - t0
@@ -139,30 +146,41 @@ def cascade(measures: DataFrame, rules=RULES) -> tuple[Rule, ...]:
     return tuple(sorted(rules, key=lambda rule: -rate.get(rule.name, 0.0)))
 
 
-def apply_rules(docs: DataFrame, order: tuple[Rule, ...], text_col: str = "text") -> DataFrame:
+def _counted(text: Text) -> list:
+    """The counts and base_failed."""
+    return [*(getattr(text, c) for c in COUNTS), text.base_failed]
+
+
+def keeps(text: Text, order: tuple[Rule, ...]) -> bool:
+    """Whether no rule rejects the text; it leaves at the first that does.  The base comes last: its measures cost nothing where its own rules ran."""
+    return not (any(rule.rejects(text) for rule in order) or text.base_failed)
+
+
+def apply_rules(docs: DataFrame, order: tuple[Rule, ...], text_col: str = "text", counts: bool = True) -> DataFrame:
     """Columns of ``docs`` and kept, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed under two underscores.
 
+    Without ``counts`` only kept is added, and a document pays for nothing behind the rule that rejects it.
+
     A null text is an empty one: no words, so it fails the base.  Repeated rows get equal verdicts; other columns pass through.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = StructType([*docs.schema.fields, *[StructField(f"__{c}", LongType()) for c in counts],
-                         StructField("__base_failed", BooleanType()), StructField("__kept", BooleanType())])
+    extra = [*[StructField(f"__{c}", LongType()) for c in COUNTS], StructField("__base_failed", BooleanType())] if counts else []
+    schema = StructType([*docs.schema.fields, *extra, StructField("__kept", BooleanType())])
     arrow, at = to_arrow_schema(schema), docs.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches, text_col):
             texts = [Text(t) for t in batch.column(at).to_pylist()]
-            out = [[getattr(t, c) for t in texts] for c in counts]
-            base = [t.base_failed for t in texts]
-            kept = [not failed and not any(rule.rejects(t) for rule in order) for failed, t in zip(base, texts)]
-            new = [pa.array(v, pa.int64()) for v in out] + [pa.array(base, pa.bool_()), pa.array(kept, pa.bool_())]
+            found = [_counted(t) for t in texts] if counts else []
+            kept = [not failed[-1] and keeps(t, order) for failed, t in zip(found, texts)] if counts else [keeps(t, order) for t in texts]
+            new = [*(pa.array([f[k] for f in found], pa.int64()) for k in range(len(COUNTS))), pa.array([f[-1] for f in found], pa.bool_())] if counts else []
+            new.append(pa.array(kept, pa.bool_()))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(chain(batch.columns, new), arrow)], schema=arrow)
     return docs.mapInArrow(run, schema)
 
 
-def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """The cascade over all documents, in the order measured on the sample."""
-    return apply_rules(docs, cascade(measured(docs, rules, id_col, text_col), rules), text_col)
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, counts: bool = True) -> DataFrame:
+    """The cascade over all documents, in the order measured on the sample; ``counts`` as in ``apply_rules``."""
+    return apply_rules(docs, cascade(measured(docs, rules, id_col, text_col, counts=counts), rules), text_col, counts)

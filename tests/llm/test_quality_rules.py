@@ -55,3 +55,14 @@ def test_junk_is_rejected_and_prose_kept(junk):
     assert any(r.rejects(Q.Text(junk)) for r in Q.RULES)
     prose = "Été à la plage, nous parlons de tout. " + " ".join(f"mot{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(70))
     assert not any(r.rejects(Q.Text(prose)) for r in Q.RULES)
+
+
+def test_without_counts_a_rejected_document_leaves_at_once(spark):
+    short = Q.Text("a b c")
+    assert not Q.keeps(short, Q.RULES) and set(short.__dict__) == {"text", "raw", "words", "n_words"}
+    rows = [(k, t) for k, t in enumerate([*_texts(), " ".join(f"mot{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(70))])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = Q.quality_filter(docs, counts=False)
+    assert out.columns == ["doc_id", "text", "__kept"]
+    want = {r.doc_id: r["__kept"] for r in Q.quality_filter(docs).collect()}
+    assert {r.doc_id: r["__kept"] for r in out.collect()} == want and set(want.values()) == {True, False}
