@@ -25,6 +25,7 @@ from frisk.llm.rows import slices
 #: fixed values
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+WINDOW = 3_999
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _WHITE = b" \t\n\x0b\f\r"
 _UPPER, _ASCII = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile(r"[\x00-\x7f]+")
@@ -94,6 +95,16 @@ class Text:
         return self.n_words < MIN_WORDS or 100 * self.n_repeat_words > MAX_REPEAT_PERCENT * self.n_words
 
 
+def few_distinct(words: list[bytes]) -> bool:
+    """Whether a word in 20 or fewer is distinct inside windows of ``WINDOW`` words, taken together; windows cover the text and are of one size.
+
+    Distinct words of prose grow slower than its length, those of a window do not depend on it.
+    """
+    n = len(words)
+    starts = [*range(0, n - WINDOW, WINDOW), max(0, n - WINDOW)]
+    return 20 * sum(len(set(words[s:s + WINDOW])) for s in starts) < min(n, WINDOW) * len(starts)
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -108,7 +119,7 @@ RULES = (
     Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > t.raw.count(b"\n") + 1),
     Rule("letters", lambda t: 10 * t.letters < 6 * t.word_chars),
     Rule("capitals", lambda t: 2 * t.capitals > t.letters),
-    Rule("few_distinct_words", lambda t: t.n_words >= 20 and 20 * len(set(t.words)) < t.n_words and t.n_words < 4000),
+    Rule("few_distinct_words", lambda t: t.n_words >= 20 and few_distinct(t.words)),
     Rule("repeated_words", lambda t: 100 * t.n_repeat_words > MAX_REPEAT_PERCENT * t.n_words),
 )
 

@@ -66,3 +66,12 @@ def test_without_counts_a_rejected_document_leaves_at_once(spark):
     assert out.columns == ["doc_id", "text", "__kept"]
     want = {r.doc_id: r["__kept"] for r in Q.quality_filter(docs).collect()}
     assert {r.doc_id: r["__kept"] for r in out.collect()} == want and set(want.values()) == {True, False}
+
+
+@pytest.mark.parametrize("n", [3_999, 4_000, 7_998, 50_000])
+def test_few_distinct_words_at_any_length(n):
+    rng = random.Random(n)
+    rejects = {r.name: r.rejects for r in Q.RULES}["few_distinct_words"]
+    assert rejects(Q.Text(" ".join(rng.choices([f"w{k}" for k in range(100)], k=n))))
+    prose = rng.choices([f"w{k}" for k in range(2_000)], [1 / (k + 1) for k in range(2_000)], k=n)  # 50,000 words hold fewer than one in 20
+    assert not rejects(Q.Text(" ".join(prose)))
