@@ -8,6 +8,7 @@ is added back.  Keys that are not hot keep chunk NULL and pay nothing but an emp
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 _BROADCAST_KEYS = 20_000  # a hot-key list beyond this is joined by shuffle instead
-_MOST_CHUNKS = 128
+_LEAST_MARKS = 128
 
 
 @dataclass(frozen=True)
@@ -55,21 +56,22 @@ def hot_keys(df: DataFrame, keys: list[str], t: str, hot_rows: int) -> DataFrame
     """Keys above ``hot_rows`` with the times at which they are cut, or None.
 
     At most count(df) / hot_rows rows.  Cuts are quantiles of the key's rows, so a burst is cut as finely as its rows demand;
-    there are ``_MOST_CHUNKS`` at most, beyond which chunks grow with the key.
+    marks follow the largest key, two a chunk at least, so a chunk stays near ``hot_rows`` rows at every size.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    n = counts.count()
+    n, largest = counts.agg(F.count(F.lit(1)), F.max("_n")).first()
     if n == 0:
         return None
     small = F.broadcast(counts) if n <= _BROADCAST_KEYS else counts
-    marks = [k / _MOST_CHUNKS for k in range(1, _MOST_CHUNKS)]
+    most = max(_LEAST_MARKS, 2 * math.ceil(largest / hot_rows))
+    marks = [k / most for k in range(1, most)]
     span = (
         df.join(small.select(*keys), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(t, marks, 20 * _MOST_CHUNKS).alias("_q"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(t, marks, 20 * most).alias("_q"))
     )
-    chunks = F.least(F.ceil(F.col("_n") / F.lit(float(hot_rows))), F.lit(_MOST_CHUNKS)).cast("int")
-    every = F.transform(F.sequence(F.lit(1), chunks - 1), lambda k: F.get("_q", (k * _MOST_CHUNKS / chunks).cast("int") - 1))
+    chunks = F.ceil(F.col("_n") / F.lit(float(hot_rows))).cast("int")
+    every = F.transform(F.sequence(F.lit(1), chunks - 1), lambda k: F.get("_q", (k * most / chunks).cast("int") - 1))
     out = span.select(*keys, F.array_distinct(F.when(chunks > 1, every).otherwise(F.array().cast("array<bigint>"))).alias("_cuts"))
     return F.broadcast(out) if n <= _BROADCAST_KEYS else out
 

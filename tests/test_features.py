@@ -147,3 +147,10 @@ def test_both_routes_agree_on_missing_keys_ties_and_extreme_amounts(spark):
 def test_cold_profile_windows_share_one_exchange(spark):
     plan = profile_features(frame(spark, random_rows(n=30)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_chunks_stay_bounded_however_large_the_key(spark):
+    from frisk.operators.running import CHUNK, hot_keys, with_chunks
+    rows = spark.range(6000).selectExpr("'k' AS key", "id AS t")
+    chunked = with_chunks(rows, ["key"], "t", hot_keys(rows, ["key"], "t", 10))
+    assert max(r["count"] for r in chunked.groupBy(CHUNK).count().collect()) <= 20
