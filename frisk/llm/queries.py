@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, html_text, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, search, warc
+from frisk.llm import byte_bpe, html_text, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, rank_bpe, search, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,3 +123,9 @@ def op9(spark, d):
 def op10(spark, d):
     import public_tokenizers as P
     return packing.pack(table(spark, d, "documents").select("doc_id", "text"), P.path("word_bpe_49k.json"))
+
+
+@query("op13_rank_bpe")
+def op13(spark, d):
+    import public_tokenizers as P
+    return rank_bpe.per_document(table(spark, d, "documents").select("doc_id", "text"), P.path("byte_bpe_50k.json"))
