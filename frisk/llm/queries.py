@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frisk.llm import byte_bpe, html_text, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, rank_bpe, search, warc
+from frisk.llm import alignment, byte_bpe, html_text, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, rank_bpe, search, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,6 +125,12 @@ def op10(spark, d):
     return packing.pack(table(spark, d, "documents").select("doc_id", "text"), P.path("word_bpe_49k.json"))
 
 
+@query("op11_alignment")
+def op11(spark, d):
+    import public_tokenizers as P
+    return alignment.per_document(table(spark, d, "documents").select("doc_id", "text"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+
+
 @query("op13_rank_bpe")
 def op13(spark, d):
     import public_tokenizers as P
