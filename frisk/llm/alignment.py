@@ -17,7 +17,9 @@ rows count once each; null document ids and clashing further columns do no harm;
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +140,8 @@ class Pair:
         self.a, self.b = rank_bpe.tokenizer(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a = self.a.bytes_of
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
+        self.apart = not any(SPACE in self.b.id_to_piece(k).lstrip(SPACE) for k in range(self.b.get_piece_size()))
+        self.seen: dict[str, bytes | None] = {}
         self.length_a, self.length_b = (np.array([len(x) for x in side], "int64") for side in (self.bytes_a, self.bytes_b))
         # decimal ids with what follows them: inside a side, at a side's end
         sides = (len(self.bytes_a), "|"), (len(self.bytes_b), ";")
@@ -149,17 +153,48 @@ class Pair:
         return self.b.id_to_piece(k).replace(SPACE, " ").encode()
 
     def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids on both sides; both empty where a side does not give the bytes of space + text."""
-        whole = [" " + t if t else "" for t in texts]
-        ids_a = self.a.encode(whole, plain=True)
-        ids_b = [np.array(x, "int32") for x in self.b.encode([t or "" for t in texts], num_threads=1)]
-        none = np.zeros(0, "int32")
-        for k, text in enumerate(whole):
-            raw = text.encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids_a[k].tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b[k].tolist())) != raw:
-                ids_a[k] = ids_b[k] = none
+        """Ids on both sides; both empty where a side does not give the bytes of space + text.
+
+        Side A spells every text.  No piece of B holds a space behind another character, so where spaces stand alone B's merges
+        never pass one, and both sides work on the same cut pieces and remember them; other texts go to B's library whole.
+        """
+        ids_a, ids_b = ([np.zeros(0, "int32")] * len(texts) for _ in range(2))
+        whole = {k: " " + t for k, t in enumerate(texts) if t}
+        plain = {k: rank_bpe.cut(t) for k, t in whole.items() if self.apart and "  " not in t and SPACE not in t}
+        self._learn({piece for pieces in plain.values() for piece in pieces})
+        get = self.seen.__getitem__
+        for (k, pieces), raw in zip(plain.items(), self.a.of_pieces(list(plain.values()))):
+            found = list(map(get, pieces))
+            if None not in found:
+                ids_a[k], ids_b[k] = np.frombuffer(raw, "<i4"), np.frombuffer(b"".join(found), "<i4")
+        rest = [k for k in whole if k not in plain]
+        for k, a, b in zip(rest, self.a.encode([whole[k] for k in rest], plain=True), self.b.encode([texts[k] for k in rest], num_threads=1)):
+            if self._spells(b, whole[k]):
+                ids_a[k], ids_b[k] = a, np.array(b, "int32")
         return ids_a, ids_b
 
+    def _spells(self, ids_b, text: str) -> bool:
+        return b"".join(map(self.bytes_b.__getitem__, ids_b)) == text.encode()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember B's ids of pieces, which begin with a space; None where they do not spell the piece."""
+        new = pieces.difference(self.seen)
+        if len(self.seen) + len(new) > self.a.most:
+            self.seen, new = {}, pieces
+        if not new:
+            return
+        new = list(new)
+        ids = self.b.encode([piece[1:] for piece in new], num_threads=1)
+        flat = array("i", chain.from_iterable(ids))
+        ends = np.cumsum([len(x) for x in ids])
+        said = np.concatenate([[0], np.cumsum(self.length_b[np.frombuffer(flat, "i4")])])[ends]
+        text = [piece.encode() for piece in new]
+        if self._spells(flat, "".join(new)) and (said == np.cumsum([len(x) for x in text])).all():
+            raw, ends = flat.tobytes(), (4 * ends).tolist()
+            self.seen.update(zip(new, [raw[i:j] for i, j in zip([0, *ends], ends)]))
+        else:
+            self.seen.update((piece, array("i", x).tobytes() if self._spells(x, piece) else None) for piece, x in zip(new, ids))
+
     def group_texts(self, aligned: Aligned, n: int) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each of the block's ``n`` documents, read from the group-by-token matrices."""
         a, b = aligned.a, aligned.b

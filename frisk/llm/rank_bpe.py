@@ -32,6 +32,8 @@ _NONE = np.int64(1) << 40
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)(\n?)").fullmatch  # the usual piece: its pre-tokens are these groups
 _CUT = re.compile(r"(?= \S)")  # this \S never matches white space of the pattern below (it excludes U+001C to U+001F as well)
 
+cut = _CUT.split
+
 #: fixed value: the pattern by which byte-level files split text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -66,7 +68,7 @@ class RankBpe:
             self.byte_id[b] = vocabulary[letter]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocabulary[a] * self.size + vocabulary[b] for a, b in pairs], "int64")
-        self.merged = np.array([vocabulary[a + b] for a, b in pairs], "int64")  # by rank
+        self.merged = np.array([vocabulary[a + b] for a, b in pairs], "int64")  # by rank; its bytes are those of its parts, so ids always spell their text
         order = keys.argsort()
         self.keys, self.rank_of = keys[order], order.astype("int64")
         self.ranks_by_key = None
@@ -176,19 +178,31 @@ class RankBpe:
         for piece, words in fresh.items():
             seen[piece] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
 
-    def encode(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
-        """Ids of each text as the tokenizers library gives them without added special tokens."""
-        cut = [[_CUT.split(part) if k % 2 == 0 else part for k, part in enumerate([text] if plain else self.split_special(text))] for text in texts]
-        new = {piece for text in cut for k, part in enumerate(text) if k % 2 == 0 for piece in part}
+    def of_pieces(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids (little-endian 32-bit) of texts given as cut pieces."""
+        new = {piece for text in texts for piece in text}
+        every = len(new)
         new.difference_update(self.seen)
         if len(self.seen) + len(new) > self.most:
             self.seen = {"": b""}
-            new = {piece for text in cut for k, part in enumerate(text) if k % 2 == 0 for piece in part if piece}
+            if every > len(new):
+                new = {piece for text in texts for piece in text if piece}
         if new:
             self.learn(new)
         get = self.seen.__getitem__
-        raw = [b"".join([b"".join(map(get, part)) if k % 2 == 0 else self.special[part].to_bytes(4, "little") for k, part in enumerate(text)]) for text in cut]
-        return [np.frombuffer(ids, "<i4") for ids in raw]
+        return [b"".join(map(get, text)) for text in texts]
+
+    def encode(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        """Ids of each text as the tokenizers library gives them without added special tokens."""
+        parts = [[text] if plain else self.split_special(text) for text in texts]  # text, special, text, ...
+        raw = iter(self.of_pieces([cut(part) for text in parts for part in text[::2]]))
+        out = []
+        for text in parts:
+            ids = next(raw)
+            for special in text[1::2]:
+                ids += self.special[special].to_bytes(4, "little") + next(raw)
+            out.append(np.frombuffer(ids, "<i4"))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD, ids beyond the vocabulary nothing."""
