@@ -28,9 +28,10 @@ def lookup(pairs: dict, key: Column) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle distance; NULL where a coordinate is."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
     chord = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+    return F.when(chord.isNotNull(), F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(chord, F.lit(1.0)))))
 
 
 def behaviour_token(mcc: Column, channel: Column, amount: Column) -> Column:

@@ -269,7 +269,8 @@ def _finish(raw: DataFrame, s: Settings) -> DataFrame:
     sd = F.coalesce(F.nullif(F.col("sd"), F.lit(0.0)), floor)
     seen, gap = F.col("last").isNotNull(), (t - F.col("last.t")) / float(US)
     secs = F.when(seen, F.least(gap, F.lit(float(s.max_gap_s)))).otherwise(float(s.max_gap_s))
-    dist = F.when(seen, haversine_km(F.col("last.lat"), F.col("last.lon"), F.col("lat"), F.col("lon"))).otherwise(0.0)
+    # a row without coordinates is no evidence of travel
+    dist = F.when(seen, F.coalesce(haversine_km(F.col("last.lat"), F.col("last.lon"), F.col("lat"), F.col("lon")), F.lit(0.0))).otherwise(0.0)
     speed = F.when(seen, dist / F.greatest(secs / 3600.0, F.lit(1 / 60.0))).otherwise(0.0)
     home = F.coalesce(F.col("home_country"), F.col("home"))
     opened = F.coalesce(F.unix_micros("account_open"), F.col("opened"))

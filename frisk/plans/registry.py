@@ -857,6 +857,36 @@ def stream_profile(spark, d):
     return _cols(_run_stream(spark, d, profile_stream, "seq", *_STREAM_PROFILE), *_STREAM_PROFILE, places=6)
 
 
+def _stream_cases(spark, d, scorer, *names: str) -> DataFrame:
+    """Cases of the event-at-a-time scorer, drained over the events file."""
+    from frisk.streaming.event_scoring import case_stream, feature_stream
+    return _run_stream(spark, d, lambda e: case_stream(feature_stream(e, scorer, THRESHOLD, event_customers(spark, d)), fixed_scorer, THRESHOLD), *names)
+
+
+@query("stream_scores_and_actions", f"{Q.C} SELECT seq, {_r('fraud_proba', 'anomaly', 'risk', places=6)}, action FROM cases")
+def stream_scores_and_actions(spark, d):
+    """Every payment scored from keyed state; profiles learn from label 0."""
+    names = ("fraud_proba", "anomaly", "risk")
+    return _stream_cases(spark, d, None, "seq", *names, "action").select("seq", *[rounded(F.col(c), 6).alias(c) for c in names], "action")
+
+
+_STREAM_FEATURES = ("amount_z", "amount_to_max", "new_merchant", "new_country", "new_device", "new_beneficiary", "is_foreign", "dist_from_last_km", "speed_kmh",
+                    "impossible_travel", "secs_since_last", "txn_count_24h", "amt_sum_24h", "distinct_merchants_24h", "failed_logins_1h", "account_age_days",
+                    "seq_surprise", "seq_new_token", "seq_repeat_5", "seq_regime_kl", "peak_1h", "history_n")
+
+
+@query("stream_features", f"{Q.P} SELECT seq, {_r(*_STREAM_FEATURES, places=6)} FROM prof")
+def stream_features(spark, d):
+    return _cols(_stream_cases(spark, d, None, "seq", *_STREAM_FEATURES), *_STREAM_FEATURES, places=6)
+
+
+@query("stream_gate_mix")
+def stream_gate_mix(spark, d):
+    """As gate_mix, from keyed state: each decision says whether the profile learns from its row."""
+    from frisk.streaming.row_policy import fixed_row_scorer
+    return metrics.decision_mix(_stream_cases(spark, d, fixed_row_scorer, "seq", "channel", "action"), ["channel"])
+
+
 # --- splits, references and smaller operators ------------------------------------------------------------------
 
 @query("time_split", f"""{Q.with_(Q.BASE)}, r AS (SELECT seq, row_number() OVER (ORDER BY t, seq) AS r, count(*) OVER () AS n FROM txn)
