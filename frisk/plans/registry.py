@@ -863,11 +863,11 @@ def _stream_cases(spark, d, scorer, *names: str) -> DataFrame:
     return _run_stream(spark, d, lambda e: case_stream(feature_stream(e, scorer, THRESHOLD, event_customers(spark, d)), fixed_scorer, THRESHOLD), *names)
 
 
-@query("stream_scores_and_actions", f"{Q.C} SELECT seq, {_r('fraud_proba', 'anomaly', 'risk', places=6)}, action FROM cases")
+@query("stream_scores_and_actions", f"{Q.C} SELECT seq, {_r('fraud_proba', 'anomaly', 'risk', places=8)}, action FROM cases")
 def stream_scores_and_actions(spark, d):
     """Every payment scored from keyed state; profiles learn from label 0."""
     names = ("fraud_proba", "anomaly", "risk")
-    return _stream_cases(spark, d, None, "seq", *names, "action").select("seq", *[rounded(F.col(c), 6).alias(c) for c in names], "action")
+    return _stream_cases(spark, d, None, "seq", *names, "action").select("seq", *[rounded(F.col(c), 8).alias(c) for c in names], "action")
 
 
 _STREAM_FEATURES = ("amount_z", "amount_to_max", "new_merchant", "new_country", "new_device", "new_beneficiary", "is_foreign", "dist_from_last_km", "speed_kmh",
