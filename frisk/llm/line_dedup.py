@@ -75,7 +75,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     dense = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.element_at("drops", w), F.lit(0).cast("long")))
     sets = bitmaps.select(*_ID, dense.alias("__bits"))
     rows = docs.withColumn("__key", text_key(F.col(text_col)))
-    joined = rows.join(sets, rows[id_col].eqNullSafe(sets["__id"]) & (rows["__key"] == sets["__tk"]), "left")
+    # one join form at every size: a broadcast below Spark's limit would make disk jump where it ends
+    joined = rows.join(sets.hint("shuffle_hash"), rows[id_col].eqNullSafe(sets["__id"]) & (rows["__key"] == sets["__tk"]), "left")
 
     def stays(line, k):
         word = F.shiftright(k, 6)
