@@ -1,7 +1,8 @@
 """Per-customer features, strictly before each transaction, from accepted rows only.
 
 Customers of ordinary size run through plain windows: one shuffle by customer, then sorts.
-Range frames cost (rows x frame size), so customers above ``hot_rows`` take a second route
+Counts and distinct counts of a time window are differences of running counts, linear in the rows; the two sliding sums
+keep range frames, which cost (rows x frame size), so customers above ``hot_rows`` take a second route
 with the same results: every accepted row enters a running sum at its time and leaves it
 when the sliding window has passed, which is linear, and the sums are cut into time chunks
 (see ``running``), so one customer may hold any share of the data.
@@ -18,6 +19,7 @@ from frisk.operators.running import CHUNK, Fold, chunk_of, hot_keys, running
 
 _KEYS = {"merchant": "merchant_id", "country": "country", "device": "device_id",
          "payee": "beneficiary", "token": "tok"}
+_DISTINCT = ("merchant", "country")  # keys counted distinctly over the last day
 # sliding sums on the hot route add and subtract, so they are kept exact: a whole part and a fraction in steps of 2^-60
 _EXACT, _STEPS = "decimal(38,0)", float(1 << 60)
 
@@ -59,6 +61,15 @@ def _cold(e: DataFrame, early_logins: bool) -> DataFrame:
         w = Window.partitionBy("cust_id", col).orderBy("t", "seq").rowsBetween(first, now)
         hit = _known_device(login) if name == "device" else F.col("acc")
         e = e.withColumn("k_" + name, F.count(hit).over(w))
+        if name in _DISTINCT:
+            # a key enters the last day with a row that finds none of its kind there, and leaves a day after a row that no other follows in time
+            taken = F.col("acc").isNotNull() & F.col(col).isNotNull()
+            e = e.withColumns({"_acc_t": F.when(taken, F.col("t")), "_before": F.max(F.when(taken, F.col("t"))).over(w)})
+            after = F.expr(f"lead(_acc_t) IGNORE NULLS OVER (PARTITION BY cust_id, {col} ORDER BY t, seq)")
+            day = 86400 * US
+            e = e.withColumn("_after", after).withColumns({
+                "_enter_" + name: F.when(taken & F.coalesce(F.col("t") - F.col("_before") > day, F.lit(True)), 1),
+                "_leave_" + name: F.when(taken & F.coalesce(F.col("_after") - F.col("t") > day, F.lit(True)), 1)}).drop("_acc_t", "_before", "_after")
 
     prev = by_cust.rowsBetween(first, now)
     at_start = by_cust.rowsBetween(first, 0)
@@ -80,14 +91,19 @@ def _cold(e: DataFrame, early_logins: bool) -> DataFrame:
     amount, failed = acc(F.col("amount")), F.when(login & (F.col("success") == 0), 1)
     zero = F.lit(0.0)
 
+    def long_past(s: int):
+        """Rows over ``s`` seconds older than this one: a frame that only grows."""
+        return Window.partitionBy("cust_id").orderBy("t").rangeBetween(first, -s * US - 1)
+
     def count_in(c: Column, s: int) -> Column:
-        return F.count(c).over(span(s)) + F.count(c).over(tie)
+        # two running counts: a frame with two moving ends is summed again for every row
+        return F.count(c).over(prev) - F.count(c).over(long_past(s))
 
     def sum_in(c: Column, s: int) -> Column:
         return F.coalesce(F.sum(c).over(span(s)), zero) + F.coalesce(F.sum(c).over(tie), zero)
 
-    def distinct_in(c: Column, s: int) -> Column:
-        return F.size(F.array_union(F.collect_set(c).over(span(s)), F.collect_set(c).over(tie)))
+    def distinct_in(name: str) -> Column:
+        return F.count("_enter_" + name).over(prev) - F.count("_leave_" + name).over(long_past(86400))
 
     e = e.withColumns({
         "c5": count_in(F.col("acc"), 300),
@@ -95,11 +111,12 @@ def _cold(e: DataFrame, early_logins: bool) -> DataFrame:
         "c24": count_in(F.col("acc"), 86400),
         "s1": sum_in(amount, 3600),
         "s24": sum_in(amount, 86400),
-        "dm": distinct_in(acc(F.col("merchant_id")), 86400),
-        "dc": distinct_in(acc(F.col("country")), 86400),
+        "dm": distinct_in("merchant"),
+        "dc": distinct_in("country"),
         "fl": count_in(failed, 3600),
         "lg": count_in(F.when(login, 1), 3600),
     })
+    e = e.drop(*[x + name for name in _DISTINCT for x in ("_enter_", "_leave_")])
     aged = Window.partitionBy("cust_id").orderBy("t").rangeBetween(first, -3600 * US)
     e = e.withColumns({
         "peak_5m": F.max(acc(F.col("c5") + 1)).over(aged),

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from frisk.config import DEFAULT, FEATURE_COLUMNS, PROFILE_COLUMNS
@@ -154,3 +157,31 @@ def test_chunks_stay_bounded_however_large_the_key(spark):
     rows = spark.range(6000).selectExpr("'k' AS key", "id AS t")
     chunked = with_chunks(rows, ["key"], "t", hot_keys(rows, ["key"], "t", 10))
     assert max(r["count"] for r in chunked.groupBy(CHUNK).count().collect()) <= 20
+
+
+def test_window_counts_of_a_busy_customer_use_growing_frames_only(spark):
+    """20,000 rows inside one day: counts against a plain sweep, and no frame that is summed again for every row except the two sums."""
+    rng = random.Random(9)
+    rows = [txn(k, 40 * k // 10 + (k % 7 == 0), "busy", 5.0 + k % 9, merchant_id=f"m{rng.randrange(300)}" if k % 11 else None, country=rng.choice(["IN", "SG", None]), label=int(k % 13 == 0))
+            for k in range(20_000)]
+    rows += [txn(20_000 + k, 86400 * 2 + 3600 * 20 * k, "busy", merchant_id=f"m{k % 3}") for k in range(6)]
+    out = profile_features(frame(spark, rows)).select("seq", "txn_count_5m", "txn_count_1h", "txn_count_24h", "distinct_merchants_24h", "distinct_countries_24h")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan
+    got = {r["seq"]: tuple(r)[1:] for r in out.collect()}
+    rows.sort(key=lambda r: (r["t"], r["seq"]))
+    past, lo = [], {300: 0, 3600: 0, 86400: 0}
+    seen = {"merchant_id": Counter(), "country": Counter()}
+    for r in rows:
+        for s in lo:
+            while lo[s] < len(past) and r["t"] - past[lo[s]]["t"] > s:
+                if s == 86400:
+                    for col, c in seen.items():
+                        c[past[lo[s]][col]] -= 1
+                lo[s] += 1
+        distinct = [float(sum(n > 0 for v, n in c.items() if v is not None)) for c in seen.values()]
+        assert got[r["seq"]] == (*[float(len(past) - lo[s]) for s in (300, 3600, 86400)], *distinct), r
+        if r["label"] == 0:
+            past.append(r)
+            for col, c in seen.items():
+                c[r[col]] += 1
