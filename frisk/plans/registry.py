@@ -870,6 +870,27 @@ def stream_scores_and_actions(spark, d):
     return _stream_cases(spark, d, None, "seq", *names, "action").select("seq", *[rounded(F.col(c), 8).alias(c) for c in names], "action")
 
 
+@query("stream_restored_scores", f"{Q.C} SELECT seq, {_r('fraud_proba', 'anomaly', 'risk', places=8)}, action FROM cases")
+def stream_restored_scores(spark, d):
+    """As stream_scores_and_actions, by two streams: the first takes the earlier half and stops, the second starts from the saved state."""
+    from frisk.functions.keep import folder
+    from frisk.streaming.event_scoring import case_stream, feature_stream, save_state
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path, names, events = folder(spark), ("fraud_proba", "anomaly", "risk"), _events(spark, d)
+    middle = events.agg(F.timestamp_micros(F.percentile_approx(F.unix_micros("ts"), 0.5)).alias("m")).first()["m"]
+    for part, which in enumerate((F.col("ts") <= middle, F.col("ts") > middle)):
+        events.filter(which).write.parquet(f"{path}/{part}/in")
+        rows = feature_stream(spark.readStream.schema(events.schema).parquet(f"{path}/{part}/in"), None, THRESHOLD, event_customers(spark, d),
+                              start=f"{path}/state" if part else None)
+        q = (case_stream(rows, fixed_scorer, THRESHOLD).select("seq", *names, "action").writeStream.format("parquet").option("path", f"{path}/{part}/out")
+             .option("checkpointLocation", f"{path}/{part}/cp").trigger(availableNow=True).start())
+        q.awaitTermination()
+        if part == 0:
+            save_state(spark, f"{path}/0/cp", f"{path}/state")
+    both = spark.read.parquet(f"{path}/0/out").unionByName(spark.read.parquet(f"{path}/1/out"))
+    return both.select("seq", *[rounded(F.col(c), 8).alias(c) for c in names], "action")
+
+
 _STREAM_FEATURES = ("amount_z", "amount_to_max", "new_merchant", "new_country", "new_device", "new_beneficiary", "is_foreign", "dist_from_last_km", "speed_kmh",
                     "impossible_travel", "secs_since_last", "txn_count_24h", "amt_sum_24h", "distinct_merchants_24h", "failed_logins_1h", "account_age_days",
                     "seq_surprise", "seq_new_token", "seq_repeat_5", "seq_regime_kl", "peak_1h", "history_n")
