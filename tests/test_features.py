@@ -185,3 +185,9 @@ def test_window_counts_of_a_busy_customer_use_growing_frames_only(spark):
             past.append(r)
             for col, c in seen.items():
                 c[r[col]] += 1
+
+
+def test_missing_coordinates_are_no_travel(spark):
+    rows = [txn(0, 0), txn(1, 600, lat=None, lon=None), txn(2, 1200)]
+    got = by_seq(profile_features(frame(spark, rows)), ["dist_from_last_km", "speed_kmh", "impossible_travel"])
+    assert all(tuple(r)[1:] == (0.0, 0.0, 0.0) for r in got.values())
