@@ -6,6 +6,10 @@ feature domain is cut into first-level parts, each into second-level parts; with
 sees k2 differences or fewer, so at least one subset of n2 - k2 of its n2 second-level parts sees none.  Every such subset is
 one signature; sets that agree on one are candidates, and every candidate is verified on the sets themselves.
 
+With spare parts linked sets agree on more than one signature.  Under one order of all signatures, by the number of documents that
+have them, the first of t common ones has t - 1 common ones behind it in either set: each set leaves out its t - 1 most frequent
+signatures and no link is lost.  What documents share that only hold the same passage mostly goes that way.
+
 Signatures are dealt out by ranges of (signature, id), so a signature that very many documents share is spread over partitions.
 Documents with one signature are not paired with each other when there are many of them.  All sets of such a bucket are written as differences D to
 a reference set (what most of a few of them hold; any set is right).  Let m be the member with the smallest |D| - s|set|, s being the share
@@ -14,7 +18,8 @@ m are connected then; for any other pair |D(x)| + |D(y)| > s(|x| + |y|), so a li
 elements are the buckets of the next level.  A pair is left out only if links found so far, of whatever bucket and level, connect
 the two (their components are kept up to date level by level), and a bucket only if they connect all of it.  D is split into added (A) and removed (R) elements; a pair without a common added element needs
 |A(x)| + |A(y)| + ||R(x)| - |R(y)|| <= s(|x| + |y|), so with d the smallest |A| - |R| of the bucket, only members with
-|D| + d <= s(|x| + |y|) have to be looked up by removed elements, and only by a prefix of them.  No candidate is capped or skipped.
+|D| + d <= s(|x| + |y|) have to be looked up by removed elements, and only by a prefix of them.  Added elements are a prefix too: y
+lacks at most s(|x| + |y|) elements of A(x), so one more of them in one order holds the first common one.  No candidate is capped or skipped.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frisk.functions.keep import Scratch, stored
@@ -114,19 +119,24 @@ def set_hash(grams: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(grams: np.ndarray, rule: Similarity) -> np.ndarray:
-    """The set's signatures for its own band and for the next one.
+    """The set's signatures for its own band and for the next one; the last bit of each tells the two apart."""
+    return _signatures(grams, rule)[0]
+
+
+def _signatures(grams: np.ndarray, rule: Similarity) -> tuple[np.ndarray, list[int]]:
+    """Signatures, and by their last bit how many of them a linked set shares beyond the first.
 
     Where subsets are single second-level parts there are ``SPARE`` parts more than needed, so linked sets agree on more than
     ``SPARE`` of them.  Parts without an element say nothing and are left out by sets that have ``SPARE`` of them at most:
-    such a set agrees with every linked one on a part that has elements.
+    such a set agrees with every linked one on a part that has elements, and on ``SPARE`` more less its empty ones.
     """
     number, own, following = rule.band(len(grams))
     scrambled, weights = _mix(grams, 21), _mix(grams, 22)
-    out = []
+    out, surplus = [], [0, 0]
     for instance, largest in ((number, own), (number + 1, following)):
-        k = rule.most_different(2 * largest)
+        k, last = rule.most_different(2 * largest), np.uint64(instance & 1)
         if k == 0:
-            out.append(_mix(weights.sum(dtype="uint64", keepdims=True), 40 + instance))
+            out.append(_mix(weights.sum(dtype="uint64", keepdims=True), 40 + instance) & ~np.uint64(1) | last)
             continue
         single = rule.n2 == rule.k2 + 1
         n1 = -(-(k + 1 + SPARE * single) // (rule.k2 + 1))
@@ -136,13 +146,16 @@ def signatures(grams: np.ndarray, rule: Similarity) -> np.ndarray:
         sums, held = np.zeros(n1 * n2, "uint64"), np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
         np.add.at(sums, cell, weights)
         grid = sums.reshape(n1, n2)
-        drop_empty = n2 == k2 + 1 and n1 * n2 > k + SPARE and (held == 0).sum() <= SPARE
+        empty = int((held == 0).sum())
+        drop_empty = n2 == k2 + 1 and n1 * n2 > k + SPARE and empty <= SPARE
+        if drop_empty and single:
+            surplus[instance & 1] = SPARE - empty
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
             total = _mix(np.arange(n1, dtype="uint64") + np.uint64(((instance + 1) << 40) + (c << 32)), 23)
             for part in chosen:
                 total = _mix(total + grid[:, part], 24 + part)
-            out.append(total[held[:, chosen].sum(axis=1) > 0] if drop_empty else total)
-    return np.concatenate(out).astype("int64")
+            out.append((total[held[:, chosen].sum(axis=1) > 0] if drop_empty else total) & ~np.uint64(1) | last)
+    return np.concatenate(out).astype("int64"), surplus
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
@@ -157,32 +170,35 @@ def sketch(grams: np.ndarray) -> np.ndarray:
 
 # --- stages --------------------------------------------------------------------------------
 
-_BASE = "id long, n long, h1 long, h2 long, sigs array<long>, sketch array<long>"
+_BASE = "id long, n long, h1 long, h2 long, sigs array<long>, surplus array<int>, sketch array<long>"
 
 
 def signed(docs: DataFrame, rule: Similarity, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(id, n, h1, h2, sigs, sketch) per row, written; sets that a task has seen before have no signatures again, their hashes tell them."""
+    """(id, n, h1, h2, sigs, surplus, sketch) per row, written; sets that a task has seen before have no signatures again, their hashes tell them."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         seen = set()
         for batch in slices(batches, "text", 4 << 20):
-            out, flat, ends, sketches = [[] for _ in range(4)], [np.empty(0, "int64")], [0], []
+            out, flat, ends, over, sketches = [[] for _ in range(4)], [np.empty(0, "int64")], [0], [], []
             for i, text in zip(*[c.to_pylist() for c in batch.columns]):
                 grams = shingles(text, rule.words)
                 key = (len(grams), *set_hash(grams))
                 if len(grams) and i is not None and key not in seen:
                     seen.add(key)
-                    flat.append(signatures(grams, rule))
-                    ends.append(ends[-1] + len(flat[-1]))
+                    found, surplus = _signatures(grams, rule)
+                    flat.append(found)
+                    over.append(surplus)
+                    ends.append(ends[-1] + len(found))
                 else:
+                    over.append(None)
                     ends.append(ends[-1])
                 sketches.append(sketch(grams))
                 for column, value in zip(out, (i, *key)):
                     column.append(value)
             sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out), sigs, pa.array(sketches, pa.list_(pa.int64()))],
-                                             names=["id", "n", "h1", "h2", "sigs", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out), sigs, pa.array(over, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
+                                             names=["id", "n", "h1", "h2", "sigs", "surplus", "sketch"])
     return scratch.keep(rows.mapInArrow(run, _BASE))
 
 
@@ -318,7 +334,8 @@ def _next_level(large: DataFrame, linked: DataFrame, known: DataFrame, sets: Dat
     reach = na + nr + F.col("d") <= most
     # without a common added element |D| - most removed ones are common, so a prefix of the others and one more holds one of them
     some = F.slice("removed", 1, F.greatest(F.lit(0), F.least(nr, most - na + 1)))
-    keys = F.concat(F.transform("added", lambda e: F.xxhash64("g", F.lit(1), e)),
+    new = F.slice("added", 1, most + 1)  # y lacks at most that many less one
+    keys = F.concat(F.transform(new, lambda e: F.xxhash64("g", F.lit(1), e)),
                     F.when(reach, F.transform(some, lambda e: F.xxhash64("g", F.lit(2), e))).otherwise(F.array().cast("array<long>")))
     live = rows.groupBy("g").agg(_parted().alias("parted")).filter("parted").select("g")  # groups whose members are all connected are done
     sub = rows.join(live, "g", "left_semi").select(F.explode(F.array_distinct(keys)).alias("b"), "id", "component")
@@ -335,13 +352,32 @@ def _counted(buckets: DataFrame, scratch: Scratch, top: bool = False) -> DataFra
     return scratch.keep(buckets.join(size, "b"))
 
 
-def links(docs: DataFrame, base: DataFrame, classes: DataFrame, rule: Similarity, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(a, b) between representatives of different sets: enough of them to connect every pair that is similar enough."""
+def _selective(buckets: DataFrame, surplus: DataFrame) -> DataFrame:
+    """``buckets`` (b, id) of two members or more without each set's most frequent signatures, as many as ``surplus`` (id, surplus) says.
+
+    Signatures are ordered by members and value.  A set's signatures of one band are one window, bounded by its own text.
+    """
+    size = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    last = F.col("b").bitwiseAND(1).cast("int")
+    place = F.row_number().over(Window.partitionBy("id", last).orderBy(F.desc("members"), F.desc("b")))
+    rows = buckets.join(size, "b").withColumn("place", place).join(surplus, "id")
+    return rows.filter(F.col("place") > F.col("surplus")[last]).select("b", "id")
+
+
+def links(docs: DataFrame, base: DataFrame, classes: DataFrame, rule: Similarity, id_col: str, text_col: str, scratch: Scratch, selective: bool = False) -> DataFrame:
+    """(a, b) between representatives of different sets: enough of them to connect every pair that is similar enough.
+
+    ``selective`` leaves each set's ``surplus`` most frequent signatures out; it needs all signatures of ``signed``.
+    """
     shared = scratch.keep(_shared(base.select(F.explode("sigs").alias("b"), "id")))
     wanted = shared.select("id").distinct()
-    names = scratch.keep(base.select("id", "n", "h1", "h2", "sketch").join(wanted, "id", "left_semi").join(classes, ["n", "h1", "h2"]).select("id", "rep", "n", "sketch"))
+    names = scratch.keep(base.select("id", "n", "h1", "h2", "surplus", "sketch").join(wanted, "id", "left_semi").join(classes, ["n", "h1", "h2"]).select("id", "rep", "n", "surplus", "sketch"))
     sketches = scratch.keep(names.select(F.col("rep").alias("id"), "n", "sketch").distinct())
-    buckets = shared.join(names.select("id", "rep").distinct(), "id").select("b", F.col("rep").alias("id")).distinct().withColumn("component", F.lit(None).cast("long"))
+    buckets = scratch.keep(shared.join(names.select("id", "rep").distinct(), "id").select("b", F.col("rep").alias("id")).distinct())
+    if selective:
+        surplus = names.filter("surplus IS NOT NULL").select(F.col("rep").alias("id"), "surplus").distinct()
+        buckets = scratch.keep(_selective(buckets, surplus))
+    buckets = buckets.withColumn("component", F.lit(None).cast("long"))
     buckets = _counted(buckets, scratch, top=True)
     none = base.sparkSession.createDataFrame([], "id long, component long")
     known, last, sets = none, none.select(F.col("id").alias("x"), F.col("component").alias("y")), None
@@ -371,7 +407,7 @@ def jaccard_groups(docs: DataFrame, rule: Similarity = Similarity(), id_col: str
     some = base.filter("n > 0 AND id IS NOT NULL")
     classes = scratch.keep(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")))
     same = some.join(classes, ["n", "h1", "h2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = links(docs, some, classes, rule, id_col, text_col, scratch).unionByName(same)
+    found = links(docs, some, classes, rule, id_col, text_col, scratch, selective=True).unionByName(same)
     out = base.select("id", "n").join(components(found, scratch), "id", "left")
     out = stored(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
     scratch.clear()

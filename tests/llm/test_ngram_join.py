@@ -83,6 +83,27 @@ def test_similar_sets_share_a_signature(rule):
             assert np.intersect1d(J.signatures(a, rule), J.signatures(b, rule)).size
 
 
+@pytest.mark.parametrize("rule", [J.Similarity(3, 90), J.Similarity(5, 80), J.Similarity(3, 70, 2, 4)])
+def test_similar_sets_share_more_signatures_than_their_surplus(rule):
+    rng, tested = np.random.default_rng(7), 0
+    for _ in range(600):
+        size = int(rng.integers(1, 300))
+        a = rng.integers(0, 2**63, size, dtype="uint64")
+        most = rule.most_different(2 * size)
+        gone, new = (int(x) for x in rng.integers(0, most // 2 + 2, 2))
+        b = np.unique(np.append(a[gone:], rng.integers(0, 2**63, new, dtype="uint64")))
+        a = np.unique(a)
+        common = len(np.intersect1d(a, b))
+        if len(b) and 100 * common >= rule.percent * (len(a) + len(b) - common):
+            (x, over_x), (y, over_y) = J._signatures(a, rule), J._signatures(b, rule)
+            both = np.intersect1d(x, y)
+            shared = [int((both & 1 == parity).sum()) for parity in (0, 1)]
+            bands = {rule.band(len(s))[0] + k for s in (a, b) for k in (0, 1)} & set.intersection(*({rule.band(len(s))[0], rule.band(len(s))[0] + 1} for s in (a, b)))
+            assert all(shared[i & 1] > max(over_x[i & 1], over_y[i & 1]) for i in bands)
+            tested += 1
+    assert tested > 100
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 130)] + [(5, 5), (7, 7), (130, 100), (50, 51), (51, 50)]
     got = dict(components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect())
