@@ -33,13 +33,15 @@ IMPLIED = {
     "body": (("head",), ()),
 }
 _FENCES = frozenset("table td th caption html button object".split())  # no end tag reaches over these unless it names one further out
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 _INTEGER = re.compile(r"\s*([+-]?\d+)")
 #: what no browser draws inside drawings and formulas: descriptions, and definitions where they stand; elsewhere these are unknown names
 UNDRAWN = frozenset("desc metadata defs symbol clippath mask annotation annotation-xml".split())
-MAX_DEPTH = 400  # deeper elements become children of the one at this depth; their text stays
+MAX_DEPTH = 250  # layout takes up to three frames a level; deeper elements lay their content out in the one at this depth
+MAX_COLSPAN = 100  # a wider cell takes so many columns
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -62,64 +64,150 @@ class Node:
         return int(found[1][:9]) if found else default
 
 
+class _Tags:
+    """Where tags end, in time linear in the page: what a place outside quotes leads to is looked up once."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.known = html, html.rfind(">"), {}
+        self.near = self.name = (0, -1)  # a place, and the next special character or name's end from there on
+
+    def _special(self, at: int) -> int:
+        if not self.near[0] <= at <= self.near[1]:
+            found = _SPECIAL.search(self.html, at)
+            self.near = at, found.start() if found else len(self.html)
+        return self.near[1]
+
+    def close(self, at: int) -> int:
+        """The ``>`` that ends a tag whose attributes start at ``at``; -1 without one, or where a quote stays open."""
+        path, end = [], None
+        while end is None:
+            at = self._special(at)
+            if at in self.known:
+                end = self.known[at]
+            elif at >= len(self.html):
+                end = -1
+            elif self.html[at] == ">":
+                end = at
+            else:
+                path.append(at)
+                shut = self.html.find(self.html[at], at + 1)
+                if shut < 0:
+                    end = -1
+                at = shut + 1
+        self.known.update(dict.fromkeys(path, end))
+        return end
+
+    def tag(self, at: int) -> tuple[str, int, int] | None:
+        """(name, start of the attributes, place of the end) of a tag whose name starts at ``at``."""
+        if at > self.last or not (self.html[at].isascii() and self.html[at].isalpha()):
+            return None
+        if not self.name[0] <= at <= self.name[1]:
+            self.name = at, _NAME.match(self.html, at).end()
+        stop = self.name[1]
+        end = self.close(stop)
+        if end < 0:  # quotes inside the name may pair with later ones
+            stop = self._special(at)
+            if stop >= self.name[1] or stop == at:
+                return None
+            end = self.close(stop)
+        return None if end < 0 else (self.html[at:stop].lower(), stop, end)
+
+
+class _Open:
+    """The open elements, and at which places of the stack each name stands."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            node = self.stack.pop()
+            self.places[node.name].pop()
+            if node.name in BLOCK and node.children is self.stack[-1].children:  # beyond MAX_DEPTH: what follows is apart
+                node.children.append(Node("p" if node.name in PARAGRAPH else "div"))
+
+    def nearest(self, names) -> int:
+        """The innermost place of any of ``names``, 0 without one."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, names, fences=()) -> None:
+        """Ends all elements of ``names`` inside the innermost fence."""
+        fence = self.nearest(fences)
+        while (k := self.nearest(names)) > fence:
+            self.cut(k)
+
+    def end(self, name: str) -> None:
+        k = self.nearest((name,))
+        if k and (name in BLOCK or k >= self.nearest(_FENCES)):
+            self.cut(k)
+
+
 def tree(html: str) -> Node:
-    """The page as nodes and strings; never fails, whatever the tags."""
+    """The page as nodes and strings; never fails, whatever the tags, in time linear in the page."""
     root = Node("html")
-    stack = [root]
-    at = 0
-
-    def close(names, fences=()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return close(names, fences)
-            if stack[k].name in fences:
-                return
-
-    while True:
-        token = _TOKEN.search(html, at)
-        text = html[at:token.start()] if token else html[at:]
-        if text:
-            stack[-1].children.append(unescape(text))
-        if not token:
-            return root
-        at = token.end()
-        if not token[2]:
-            if token[0].startswith("<![CDATA["):
-                stack[-1].children.append(token[0][9:].removesuffix("]]>"))
+    tags, opened = _Tags(html), _Open(root)
+    at = look = 0
+
+    def text(upto: int) -> None:
+        if upto > at:
+            opened.stack[-1].children.append(unescape(html[at:upto]))
+
+    while (start := html.find("<", look)) >= 0:
+        if html.startswith(("<!--", "<![CDATA["), start):
+            raw = html[start + 2] == "["
+            shut = html.find("]]>" if raw else "-->", start + (9 if raw else 4))
+            text(start)
+            if raw:
+                opened.stack[-1].children.append(html[start + 9:shut if shut >= 0 else len(html)])
+            at = look = shut + 3 if shut >= 0 else len(html)
             continue
-        name = token[2].lower()
-        if token[1]:
-            if name in ("p", "br") and not any(n.name == name for n in stack):
-                stack[-1].children.append(Node(name))
-            elif any(n.name == name for n in stack[1:]):
-                _end(stack, name)
+        if html.startswith(("<!", "<?"), start):
+            if start < tags.last:
+                text(start)
+                at = look = html.find(">", start) + 1
+            else:
+                look = start + 1
+            continue
+        ending = html.startswith("/", start + 1)
+        found = tags.tag(start + 1 + ending)
+        if found is None:
+            look = start + 1
+            continue
+        text(start)
+        name, stop, end = found
+        at = look = end + 1
+        if ending:
+            if name in ("p", "br") and not opened.nearest((name,)):
+                opened.stack[-1].children.append(Node(name))
+            else:
+                opened.end(name)
             continue
         if name in IMPLIED:
-            close(*IMPLIED[name])
+            opened.close(*IMPLIED[name])
         elif name in BLOCK:
-            close(("p",), _FENCES)
-        if name in BLOCK and name != "head" and stack[-1].name == "head":
-            del stack[-1]
-        node = Node(name, token[3])
-        node.drawn = name not in UNDRAWN or not any(n.name in ("svg", "math") for n in stack)
-        stack[-1].children.append(node)
+            opened.close(("p",), _FENCES)
+        if name in BLOCK and name != "head" and opened.stack[-1].name == "head" and len(opened.stack) > 1:
+            opened.cut(len(opened.stack) - 1)
+        node = Node(name, html[stop:end])
+        node.drawn = name not in UNDRAWN or not opened.nearest(("svg", "math"))
+        parent = opened.stack[-1]
+        parent.children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            body = html[at:end.start()] if end else html[at:]
+            after = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at, tags.last + 1)
+            body = html[at:after.start()] if after else html[at:]
             node.children.append(unescape(body) if name in ("textarea", "title") else body)
-            at = end.end() if end else len(html)
-        elif name not in VOID and not token[3].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
-
-
-def _end(stack: list[Node], name: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == name:
-            del stack[k:]
-            return
-        if stack[k].name in _FENCES and name not in BLOCK:
-            return
+            at = look = after.end() if after else len(html)
+        elif name not in VOID and not html[stop:end].rstrip().endswith("/"):
+            if len(opened.stack) >= MAX_DEPTH and _seen(node):
+                node = Node(name)  # its content stands behind the element itself
+                node.children = parent.children
+            opened.push(node)
+    text(len(html))
+    return root
 
 
 class _Lines:
@@ -282,18 +370,26 @@ def _table(node: Node) -> list[str]:
     holder = Node("div")
     holder.children = other
     out = _inner(holder)
-    grid = []
+    grid, taken = [], {}  # columns that cells of earlier rows reach into, and for how many rows more
     for row in rows:
-        cells = []
+        cells, below = [], {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row.children:
+            if isinstance(cell, str) and not cell.strip() or isinstance(cell, Node) and not _seen(cell):
+                continue
+            while len(cells) in taken:
+                cells.append([])
             if isinstance(cell, str):
-                if cell.strip():
-                    cells.append([cell.strip()])
-            elif _seen(cell):
-                wrap = Node("div")
-                wrap.children = cell.children if cell.name in ("td", "th") else [cell]
-                cells.append(_inner(wrap))
-                cells += [[] for _ in range(min(cell.number("colspan", 1), 100) - 1)]
+                cells.append([cell.strip()])
+                continue
+            wrap = Node("div")
+            wrap.children = cell.children if cell.name in ("td", "th") else [cell]
+            first = len(cells)
+            cells.append(_inner(wrap))
+            cells += [[] for _ in range(min(cell.number("colspan", 1), MAX_COLSPAN) - 1)]
+            down = cell.number("rowspan", 1) or len(rows)  # 0: to the end of the table
+            if down > 1:
+                below.update(dict.fromkeys(range(first, len(cells)), down - 1))
+        taken = below
         if any(cells):
             grid.append(cells)
     width = [max((len(line) for row in grid if c < len(row) for line in row[c]), default=0) for c in range(max(map(len, grid), default=0))]

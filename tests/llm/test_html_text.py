@@ -83,6 +83,28 @@ def test_all_words_of_the_pages_stay_in_order(spark):
         assert "".join("".join(line.replace("|", " ").split()) for line in lines) == want
 
 
+def test_rows_that_reach_down():
+    html = "<table><tr><td rowspan=2>A<td>B1<td>C1<tr><td>B2<td>C2<tr><td rowspan=0>D<td>E<td>F<tr><td>G<tr><td>H</table>"
+    assert H.render(html) == "A | B1 | C1\n  | B2 | C2\nD | E  | F\n  | G\n  | H"
+
+
+def test_deep_pages():
+    for name in ("table", "div", "ul><li", "table><tr><td", "blockquote", "b", "thead", "dl><dd"):
+        assert [w for w in H.render(f"<{name}>" * 5000 + "x").split() if w not in "-|"] == ["x"]
+    deep = "<div>" * 420
+    assert H.render(deep + "<div hidden>no<div>no</div>no</div>yes") == "yes"
+    assert H.render(deep + "<p>a</p><div>b</div></div>c" + "</div>" * 419 + "d") == "a\n\nb\nc\nd"
+
+
+@pytest.mark.parametrize("page", ["<a ", "<a", "<!", "</a ", "<a '", "<a \"'", "<div>", "<p><button>", "<script></script ", "<svg><desc>", "<a \"<b> "])
+def test_time_is_linear(page):
+    import time
+    for end in ("", "\"", "\">"):
+        start = time.monotonic()
+        H.render(page * (1_000_000 // len(page)) + end)
+        assert time.monotonic() - start < 20
+
+
 def test_odd_rows(spark):
     deep = "<div><b><table><tr><td>" * 5000 + "x"
     rows = [(1, None, "a"), (None, "<p>x", None), (2, "", None), (2, "", None), (3, deep, "t"), (4, "<p>word " * 100_000, "t")]
