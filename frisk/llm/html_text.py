@@ -35,6 +35,8 @@ IMPLIED = {
 _FENCES = frozenset("table td th caption html button object".split())  # no end tag reaches over these unless it names one further out
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _SPECIAL = re.compile("[>\"']")
+#: an ordinary tag in one step; bounded, so that a failure costs little, and what it finds is what _Tags.tag finds
+_ORDINARY = re.compile(r"""([a-zA-Z][^\s/>"']{0,30}+)(?=[\s/>])((?:[^>"']{1,60}+|"[^"]{0,100}+"|'[^']{0,100}+'){0,8}+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 _INTEGER = re.compile(r"\s*([+-]?\d+)")
@@ -99,6 +101,9 @@ class _Tags:
 
     def tag(self, at: int) -> tuple[str, int, int] | None:
         """(name, start of the attributes, place of the end) of a tag whose name starts at ``at``."""
+        plain = _ORDINARY.match(self.html, at)
+        if plain:
+            return plain[1].lower(), plain.start(2), plain.end(2)
         if at > self.last or not (self.html[at].isascii() and self.html[at].isalpha()):
             return None
         if not self.name[0] <= at <= self.name[1]:

@@ -105,6 +105,25 @@ def test_time_is_linear(page):
         assert time.monotonic() - start < 20
 
 
+def test_tags_end_where_a_plain_pattern_says(monkeypatch):
+    import random
+    import re
+    plain = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+    rng, found = random.Random(3), 0
+    for _ in range(4000):
+        page = "".join(rng.choice(["<a", "<b", "</p", " ", ">", '"', "'", "=", "x", "/", "<", "<td "]) for _ in range(rng.randrange(3, 40)))
+        for ordinary in (H._ORDINARY, re.compile("(?!)")):
+            monkeypatch.setattr(H, "_ORDINARY", ordinary)
+            tags = H._Tags(page)
+            for m in re.finditer("<", page):
+                want = plain.match(page, m.start())
+                if want:
+                    assert tags.tag(m.start() + 1 + len(want[1])) == (want[2].lower(), want.start(3), want.end(3))
+                    found += 1
+        monkeypatch.undo()
+    assert found > 5000
+
+
 def test_odd_rows(spark):
     deep = "<div><b><table><tr><td>" * 5000 + "x"
     rows = [(1, None, "a"), (None, "<p>x", None), (2, "", None), (2, "", None), (3, deep, "t"), (4, "<p>word " * 100_000, "t")]
