@@ -30,8 +30,10 @@ class MicroBatchScorer:
     def _history(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         try:
             return spark.read.parquet(f"{self.path}/history").filter(F.col("batch") < batch_id)
-        except AnalysisException:
-            return None  # nothing written yet
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None  # nothing written yet, or a first batch that did not finish
+            raise
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

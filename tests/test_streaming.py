@@ -1,5 +1,8 @@
+import os
 import time
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from frisk.ml.scorers import fixed_scorer
@@ -92,3 +95,13 @@ def test_verification_join(spark, scratch):
     run(j, f"{scratch}/out", f"{scratch}/cp")
     got = {r["case_id"]: r["verification"] for r in spark.read.parquet(f"{scratch}/out").collect()}
     assert got == {1: "passed", 2: "expired"}
+
+
+def test_only_a_missing_history_is_none(spark, scratch):
+    scorer = micro_batch.MicroBatchScorer(f"{scratch}/s", lambda df: df, 0.3)
+    assert scorer._history(spark, 1) is None
+    os.makedirs(f"{scratch}/s/history/batch=0/_temporary")
+    assert scorer._history(spark, 1) is None
+    spark.range(3).write.mode("overwrite").parquet(f"{scratch}/s/history")  # without batches: another table
+    with pytest.raises(AnalysisException):
+        scorer._history(spark, 1)
