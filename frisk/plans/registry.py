@@ -377,12 +377,42 @@ def psi_second_half(spark, d):
     return p.select(rounded(F.col("psi"), 6).alias("psi"), "n")
 
 
+def _bin_sql(score: str) -> str:
+    step = DEFAULT.psi_range_hi / DEFAULT.psi_bins
+    return f"CASE WHEN {score} IS NULL THEN NULL " + " ".join(f"WHEN {score} < {step * (i + 1)!r}e0 THEN {i}" for i in range(9)) + " ELSE 9 END"
+
+
+# every window of the last 2,000 allowed risks; smoothing as a weighted sum over the last 400 indices
+_ROLL = f"""{Q.C}, rf AS (SELECT [{", ".join(f"count(CASE WHEN bin = {i} THEN 1 END) + 1e-6" for i in range(10))}] AS r FROM (SELECT {_bin_sql('risk')} AS bin FROM cases)),
+ o AS (SELECT seq, t, risk, action, row_number() OVER (ORDER BY t, seq) AS seen FROM cases),
+ a AS (SELECT *, row_number() OVER (ORDER BY t, seq) AS k, {_bin_sql('risk')} AS bin FROM o WHERE action = 'ALLOW'),
+ h AS (SELECT seq, seen, k, least(k, 2000) AS win, [{", ".join(f"count(CASE WHEN bin = {i} THEN 1 END) OVER w" for i in range(10))}] AS c
+   FROM a WINDOW w AS (ORDER BY k ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW)),
+ b AS (SELECT min(k) AS bk FROM h WHERE seen >= 2500 AND win >= 800), bc AS (SELECT [y + 1e-6 for y in c] AS r FROM h, b WHERE k = bk),
+ x AS (SELECT h.*, coalesce(k >= bk, false) AS moved, CASE WHEN coalesce(k >= bk, false) THEN bc.r ELSE rf.r END AS ref, CASE WHEN coalesce(k >= bk, false) THEN greatest(bk, 400) ELSE 400 END AS start
+   FROM h CROSS JOIN b CROSS JOIN rf LEFT JOIN bc ON true),
+ f AS (SELECT *, [greatest(y / list_sum(ref), 5e-3) for y in ref] AS rl, [greatest(y / greatest(list_sum(c), 1), 5e-3) for y in c] AS ol FROM x),
+ g AS (SELECT * EXCLUDE (rl, ol), [y / list_sum(rl) for y in rl] AS rl, [y / list_sum(ol) for y in ol] AS ol FROM f),
+ ix AS (SELECT seq, k, win, moved, k - start AS i, CASE WHEN k >= start THEN list_sum([(z[1] - z[2]) * ln(z[1] / z[2]) for z in list_zip(ol, rl)]) ELSE 0e0 END AS raw FROM g),
+ sm AS (SELECT p.seq, sum(CASE WHEN q.i = 0 THEN 1e0 ELSE 1e-1 END * pow(9e-1, p.i - q.i) * q.raw) AS psi FROM ix p JOIN ix q ON q.moved = p.moved AND q.i BETWEEN greatest(p.i - 400, 0) AND p.i
+   WHERE p.i >= 0 GROUP BY p.seq),
+ roll AS (SELECT ix.seq, ix.k, ix.win AS "window", ix.raw AS psi_raw, coalesce(sm.psi, 0e0) AS psi, CASE WHEN sm.psi IS NULL THEN 'warming' WHEN sm.psi > 35e-2 THEN 'alert' WHEN sm.psi > 18e-2 THEN 'watch'
+   ELSE 'stable' END AS state, CAST(moved AS INT) AS segment FROM ix LEFT JOIN sm ON sm.seq = ix.seq)"""
+_ROLL_COLS = ("seq", "k", "window", "state", "segment")
+
+
 @query("rolling_psi")
 def rolling_psi(spark, d):
     c = kept(cases(spark, d).select("ts", "seq", "risk", "action"))
     return drift.rolling_psi(c, drift.score_histogram(c, "risk"))
 
 
+@query("rolling_psi_rows", f'{_ROLL} SELECT seq, k, "window", state, segment, {_r("psi_raw", "psi", places=6)} FROM roll')
+def rolling_psi_rows(spark, d):
+    """Every row of rolling_psi, rounded."""
+    return rolling_psi(spark, d).select(*_ROLL_COLS, *[rounded(F.col(c), 6).alias(c) for c in ("psi_raw", "psi")])
+
+
 # --- feedback and queue ---------------------------------------------------------------------------
 
 def feedback_log(spark, d) -> DataFrame:
@@ -428,6 +458,50 @@ def feedback_near_join(spark, d):
     return labels.match_feedback(shifted, _txns(spark, d))
 
 
+_SIGMOID = "CASE WHEN p >= 0 THEN 1e0 / (1e0 + exp(-p)) ELSE exp(greatest(p, -7e2)) / (1e0 + exp(greatest(p, -7e2))) END"
+_ADJUST = ("amount_z", "new_device", "new_country", "new_beneficiary", "impossible_travel", "merchant_fraud_rate", "device_fraud_rate", "beneficiary_fraud_rate",
+           "entity_max_fraud_rate", "seq_surprise")
+# one row a step: the weights after it; features relative to the first verdict's
+_LEARN = f"""{Q.C.replace("WITH ", "WITH RECURSIVE ", 1)}, {_FB}, vec AS (SELECT seq, cust_id, t, amount, {", ".join(f"round({c}, 6) + 0e0 AS x{i}" for i, c in enumerate(_ADJUST))} FROM cases),
+ hit AS (SELECT fb.log_id, max(vec.seq) AS seq FROM fb JOIN vec ON vec.cust_id = fb.cust_id AND abs(epoch_us(fb.ts) - vec.t) < 2000000 AND abs(round(fb.amount, 2) - round(vec.amount, 2)) < 1e-2 GROUP BY 1),
+ stp0 AS (SELECT epoch_us(fb.recorded_at) AS rec, fb.log_id, fb.label, vec.*, row_number() OVER (ORDER BY fb.recorded_at, fb.log_id) AS k FROM hit JOIN fb ON fb.log_id = hit.log_id JOIN vec ON vec.seq = hit.seq
+   WHERE vec.t <= epoch_us(fb.recorded_at)),
+ mid AS (SELECT {", ".join(f"x{i} AS m{i}" for i in range(10))} FROM stp0 WHERE k = 1),
+ stp AS (SELECT k, rec, label, {", ".join(f"x{i} - m{i} AS z{i}" for i in range(10))} FROM stp0, mid),
+ lrn AS (SELECT CAST(0 AS BIGINT) AS k, {", ".join(f"CAST(0 AS DOUBLE) AS w{i}" for i in range(10))}, CAST(0 AS DOUBLE) AS b
+  UNION ALL SELECT k1, {", ".join(f"w{i} * (1e0 - eta * 1e-4) + stepped * z{i}" for i in range(10))}, b + stepped
+   FROM (SELECT *, eta * (label - {_SIGMOID}) AS stepped FROM (SELECT lrn.*, stp.k AS k1, stp.label, {", ".join(f"stp.z{i}" for i in range(10))},
+     lrn.b + {" + ".join(f"lrn.w{i} * stp.z{i}" for i in range(10))} AS p, 1e0 / (1e-4 * (1e3 + lrn.k)) AS eta FROM lrn JOIN stp ON stp.k = lrn.k + 1))),
+ cnt AS (SELECT seq, count(*) FILTER (WHERE NOT is_row) OVER (ORDER BY t, is_row, seq ROWS UNBOUNDED PRECEDING) AS updates, is_row
+   FROM (SELECT seq, t, true AS is_row FROM vec UNION ALL SELECT k, rec, false FROM stp)),
+ adj AS (SELECT c.seq, c.updates, CASE WHEN c.updates < 5 THEN 0e0 ELSE greatest(-15e-2, least(15e-2, ({_SIGMOID} - 5e-1) * 3e-1)) END AS adjustment
+   FROM (SELECT cnt.*, b + {" + ".join(f"w{i} * (x{i} - m{i})" for i in range(10))} AS p FROM cnt JOIN vec ON vec.seq = cnt.seq CROSS JOIN mid JOIN lrn ON lrn.k = cnt.updates WHERE is_row) c)"""
+
+
+def _rounded_features(spark, d):
+    """The feature table with the learner's ten columns at six places, as the statement has them: equal steps need equal inputs."""
+    rows = with_age(_features(spark, d), event_customers(spark, d))
+    return rows.withColumns({c: rounded(F.col(c), 6) for c in _ADJUST})
+
+
+@query("online_adjustments", f"{_LEARN} SELECT seq, updates, round(adjustment, 5) + 0e0 AS online_adjustment FROM adj")
+def online_adjustments(spark, d):
+    """The correction each case gets from the verdicts that had come by its time."""
+    from frisk.ml.feedback_adjust import with_online_adjustment
+    rows = kept(_rounded_features(spark, d).select("seq", "cust_id", "ts", "amount", *_ADJUST))
+    return with_online_adjustment(rows, feedback_log(spark, d)).select("seq", "updates", rounded(F.col("online_adjustment"), 5).alias("online_adjustment"))
+
+
+@query("adjusted_actions", f"""{_LEARN} SELECT seq, updates, round(risk, 5) AS risk, {Q.action_sql('risk', 'rank', f'fraud_proba >= {Q.THRESHOLD}')} AS action
+ FROM (SELECT c.seq, updates, rank, fraud_proba, greatest(0e0, least(1e0, c.risk + adjustment)) AS risk FROM cases c JOIN adj ON adj.seq = c.seq)""")
+def adjusted_actions(spark, d):
+    """Every decision with its risk corrected by the verdicts that had come by its time."""
+    from frisk.ml.feedback_adjust import adjusted_cases
+    rows = kept(with_age(_features(spark, d), event_customers(spark, d)))
+    told = rows.withColumns({c: rounded(F.col(c), 6) for c in _ADJUST})
+    return adjusted_cases(rows, fixed_scorer, THRESHOLD, feedback_log(spark, d), features=told).select("seq", "updates", rounded(F.col("risk"), 5).alias("risk"), "action")
+
+
 @query("maturity_weights", f"""{Q.with_(Q.BASE)}, m AS (SELECT max(t) AS now FROM txn)
  SELECT seq, round(CASE WHEN label = 1 THEN 3e0 ELSE 1e0 END * CASE WHEN (now - t) / 86400e6 < 45 THEN 3e-1 + 7e-1 * greatest((now - t) / 86400e6, 0e0) / 45e0 ELSE 1e0 END, 6) AS weight FROM txn, m""")
 def maturity_weights(spark, d):
@@ -908,6 +982,17 @@ def stream_gate_mix(spark, d):
     return metrics.decision_mix(_stream_cases(spark, d, fixed_row_scorer, "seq", "channel", "action"), ["channel"])
 
 
+@query("stream_rolling_psi", f'{_ROLL} SELECT seq, k, "window", state, segment, {_r("psi_raw", "psi", places=6)} FROM roll')
+def stream_rolling_psi(spark, d):
+    """As rolling_psi_rows, from events to index on keyed state: features, decisions and the monitor's window in one stream."""
+    from frisk.streaming.drift_monitor import drift_stream
+    from frisk.streaming.event_scoring import case_stream, feature_stream
+    shares = [r["share"] for r in drift.score_histogram(cases(spark, d), "risk").orderBy("bin").collect()]  # ten rows
+    rows = _run_stream(spark, d, lambda e: drift_stream(case_stream(feature_stream(e, None, THRESHOLD, event_customers(spark, d)), fixed_scorer, THRESHOLD), shares),
+                       *_ROLL_COLS, "psi_raw", "psi")
+    return rows.select(*_ROLL_COLS, *[rounded(F.col(c), 6).alias(c) for c in ("psi_raw", "psi")])
+
+
 # --- splits, references and smaller operators ------------------------------------------------------------------
 
 @query("time_split", f"""{Q.with_(Q.BASE)}, r AS (SELECT seq, row_number() OVER (ORDER BY t, seq) AS r, count(*) OVER () AS n FROM txn)

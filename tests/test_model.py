@@ -97,3 +97,48 @@ def test_forest_draws_from_the_whole_table(spark):
     df = spark.range(20_000).selectExpr("id AS seq", "cast(id AS double) AS x")
     cuts = [n[3] for n in iforest.fit(df, ["x"], trees=16, sample=64).nodes if n[2] >= 0]
     assert min(cuts) < 1500 and max(cuts) > 18_500
+
+
+def replayed(steps, alpha=1e-4):
+    """Weights after each verdict, stated one at a time."""
+    import math
+    out, first, w, b = [], steps[0][0], [0.0] * len(steps[0][0]), 0.0
+    for k, (x, y) in enumerate(steps):
+        z = [u - v for u, v in zip(x, first)]
+        p = max(-700.0, min(700.0, b + sum(u * v for u, v in zip(w, z))))
+        eta = 1 / (alpha * (1000 + k))
+        g = y - 1 / (1 + math.exp(-p))
+        w, b = [u * (1 - eta * alpha) + eta * g * v for u, v in zip(w, z)], b + eta * g
+        out.append((w, b))
+    return first, out
+
+
+def test_each_case_is_read_under_the_verdicts_that_had_come(spark):
+    import math
+    import random
+    rng, cols = random.Random(3), feedback_adjust.ADJUST_COLUMNS
+    data = [(i, f"c{i % 4}", 1000 + 60 * (i - i % 2), float(10 + i), *[None if rng.random() < 0.05 else round(rng.random(), 3) for _ in cols]) for i in range(60)]
+    cases = spark.createDataFrame(data, "seq long, cust_id string, t long, amount double, " + ", ".join(f"{c} double" for c in cols))
+    cases = cases.withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    at = {r[0]: r[2] for r in data}
+    # every third case gets a verdict 5 minutes later, some a second one; one comes before its case, one matches nothing, one has no label
+    log = [(10 * i, f"c{i % 4}", at[i], 10.0 + i, i % 2, at[i] + 300) for i in range(0, 60, 3)] + [(10 * i + 1, f"c{i % 4}", at[i], 10.0 + i, 1, at[i] + 600) for i in range(0, 60, 9)]
+    lost = [(900, "c1", at[1], 11.0, 1, at[1] - 500), (901, "nobody", at[2], 1.0, 1, at[2]), (902, "c1", at[5], 15.0, None, at[5])]
+    df = spark.createDataFrame(log + lost, "log_id long, cust_id string, t long, amount double, label int, r long")
+    df = df.select("log_id", "cust_id", F.timestamp_seconds("t").alias("ts"), "amount", "label", F.timestamp_seconds("r").alias("recorded_at"))
+    got = {r["seq"]: r for r in feedback_adjust.with_online_adjustment(cases, df, DEFAULT.with_(prior_bucket_s=500)).collect()}
+    x = {r[0]: [v or 0.0 for v in r[4:]] for r in data}
+    order = sorted(log, key=lambda r: (r[5], r[0]))
+    first, versions = replayed([(x[r[0] // 10], r[4]) for r in order])
+    assert set(got) == set(x)
+    for i in x:
+        k = sum(r[5] <= at[i] for r in order)
+        want = 0.0
+        if k >= 5:
+            w, b = versions[k - 1]
+            p = b + sum(u * (v - c) for u, v, c in zip(w, x[i], first))
+            want = max(-0.15, min(0.15, (1 / (1 + math.exp(-p)) - 0.5) * 0.3))
+        assert got[i]["updates"] == k and abs(got[i]["online_adjustment"] - want) < 1e-9
+    assert {got[i]["online_adjustment"] for i in (0, 1)} == {0.0} and len({r["online_adjustment"] for r in got.values()}) > 10
+    none = feedback_adjust.with_online_adjustment(cases, df.limit(0))
+    assert none.filter("online_adjustment <> 0 OR updates <> 0").count() == 0 and none.count() == 60
