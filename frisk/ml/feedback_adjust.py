@@ -112,14 +112,13 @@ def weight_versions(steps: DataFrame) -> DataFrame:
     return steps.repartition(1).sortWithinPartitions("recorded_at", "log_id").select("x", "label").mapInPandas(_descend, _VERSION)
 
 
-def with_online_adjustment(rows: DataFrame, log: DataFrame, s: Settings = DEFAULT, features: DataFrame | None = None) -> DataFrame:
+def with_online_adjustment(rows: DataFrame, log: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds ``updates`` (verdicts learned when the row came) and ``online_adjustment`` in [-cap, +cap].
 
-    A verdict counts for rows at its arrival or later; below ``feedback_min_labels`` verdicts the adjustment is 0.  ``features`` (default:
-    ``rows``) holds the cases that verdicts may match.  Which version a row meets is a running count over verdicts and rows
-    in time order, summed by time buckets: no task sees the whole table.
+    A verdict counts for rows at its arrival or later; below ``feedback_min_labels`` verdicts the adjustment is 0.  Which version a row
+    meets is a running count over verdicts and rows in time order, summed by time buckets: no task sees the whole table.
     """
-    steps = kept(feedback_steps(log, rows if features is None else features))
+    steps = kept(feedback_steps(log, rows))
     versions = kept(weight_versions(steps))
     learned = versions.count()
     marks = steps.select(F.col("recorded_at").alias("ts"), F.lit(0).alias("is_row"), F.col("log_id").alias("seq")).unionByName(
@@ -139,5 +138,10 @@ def with_online_adjustment(rows: DataFrame, log: DataFrame, s: Settings = DEFAUL
 
 def adjusted_cases(rows: DataFrame, scorer: Scorer, threshold: float, log: DataFrame, s: Settings = DEFAULT,
                    features: DataFrame | None = None) -> DataFrame:
-    """Feature rows through scorer, rules and decision, each risk corrected by what analysts had taught until then."""
-    return scored_cases(with_online_adjustment(rows, log, s, features), scorer, threshold, s)
+    """Feature rows through scorer, rules and decision, each risk corrected by what analysts had taught until then.
+
+    ``features`` (default: ``rows``) holds, by seq, the case keys and the ten features that the correction reads; only these pass its window.
+    """
+    told = (rows if features is None else features).select("seq", "cust_id", "ts", "amount", *ADJUST_COLUMNS)
+    learnt = with_online_adjustment(told, log, s).select("seq", "updates", "online_adjustment")
+    return scored_cases(rows.join(learnt, "seq"), scorer, threshold, s)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frisk.config import DEFAULT, Settings
+from frisk.operators.running import CHUNK, hot_keys, with_chunks
+
 STATUSES = ("open", "claimed", "resolved")
 _ENTRY = ("case_id long, n long, at timestamp, action string, analyst string, resolution string, "
           "status string, claimed_by string, resolved_by string, error string")
@@ -36,36 +39,131 @@ def _step(status, holder, solver, action, analyst):
     return status, holder, solver, f"unknown action {action}"
 
 
-def apply_actions(log: DataFrame) -> DataFrame:
+# Names in a run's outcomes: "=x" is analyst x, "null" none, "same" whoever stood there on entry, "other" a holder that does not act in the run.
+_SAME, _OTHER = "same", "other"
+
+
+def _name(who) -> str:
+    return "null" if who is None else "=" + who
+
+
+def _who(name: str):
+    return None if name == "null" else name[1:]
+
+
+class _Run:
+    """What a run of actions makes of every status it can start in, one action at a time.
+
+    Starts are open, resolved, claimed by an analyst of the run and claimed by anyone else.  Starts that meet go on as one.  An analyst is told apart
+    from "anyone else" at the first action of that analyst: until then both fare alike.
+    """
+
+    def __init__(self):
+        self.states = {("open", _SAME, _SAME): ["open"], ("resolved", _SAME, _SAME): ["resolved"], ("claimed", _OTHER, _SAME): [_OTHER]}
+        self.met = set()
+
+    def add(self, action, who: str) -> None:
+        if who not in self.met:
+            self.met.add(who)
+            for status, holder, solver in list(self.states):
+                if (status, holder) == ("claimed", _OTHER):
+                    self.states.setdefault(("claimed", who, solver), []).append(who)
+        moved: dict[tuple, list[str]] = {}
+        for state, starts in self.states.items():
+            status, holder, solver, _ = _step(*state, action, who)
+            moved.setdefault((status, holder or "null", solver), []).extend(starts)
+        self.states = moved
+
+    def outcomes(self) -> list[tuple]:
+        return [(start, *state) for state, starts in self.states.items() for start in starts]
+
+
+_COLS = ["case_id", "n", "at", "action", "analyst", "resolution"]
+
+
+def _fold(batches):
+    """Rows sorted by run: each with the entry's state after it; ``status`` ... on entry stand in the row."""
+    run, state = object(), None
+    for pdf in batches:
+        out = []
+        for row in pdf[["case_id", "part", "action", "analyst", "s_status", "s_holder", "s_solver"]].itertuples(index=False):
+            if (row.case_id, row.part) != run:
+                run, state = (row.case_id, row.part), (row.s_status or "open", row.s_holder, row.s_solver)
+            *state, err = _step(*state, row.action, row.analyst)
+            out.append((*state, err))
+        pdf = pdf[_COLS].copy()
+        for i, name in enumerate(("status", "claimed_by", "resolved_by", "error")):
+            pdf[name] = [o[i] for o in out]
+        yield pdf
+
+
+def _run_outcomes(batches):
+    """Rows sorted by run -> the outcomes of each run."""
+    import pandas as pd
+    key, run, names = None, None, ["case_id", "part", "start", "status", "holder", "solver"]
+    for pdf in batches:
+        out = []
+        for row in pdf[["case_id", "part", "action", "analyst"]].itertuples(index=False):
+            if (row.case_id, row.part) != key:
+                if run is not None:
+                    out += [(*key, *o) for o in run.outcomes()]
+                key, run = (row.case_id, row.part), _Run()
+            run.add(row.action, _name(row.analyst))
+        yield pd.DataFrame(out, columns=names)
+    if run is not None:
+        yield pd.DataFrame([(*key, *o) for o in run.outcomes()], columns=names)
+
+
+def _after(state: tuple, table: dict) -> tuple:
+    """The state behind a run that starts in ``state``."""
+    status, holder, solver = state
+    start = status if status != "claimed" else holder if holder in table else _OTHER
+    new = table[start]
+    return new[0], holder if new[1] in (_SAME, _OTHER) else new[1], solver if new[2] == _SAME else new[2]
+
+
+def _chain(batches):
+    """Outcomes sorted by (case, run) -> the state each run starts in; holds one run's outcomes."""
+    import pandas as pd
+    key, table, state = (None, None), {}, None
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            if (row.case_id, row.part) != key:
+                state = _after(state, table) if row.case_id == key[0] else ("open", "null", "null")
+                key, table = (row.case_id, row.part), {}
+                out.append((*key, state[0], _who(state[1]), _who(state[2])))
+            table[row.start] = (row.status, row.holder, row.solver)
+        yield pd.DataFrame(out, columns=["case_id", "part", "s_status", "s_holder", "s_solver"])
+
+
+def apply_actions(log: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Every logged action with the entry's state after it, refused ones with their error.
 
-    ``log``: case_id, n (order), at, action, analyst, resolution.  What an action does depends on
-    all earlier ones of its case, so rows are hashed by case, sorted inside the partition and
-    streamed through in Arrow batches; only the current entry is held in memory.
+    ``log``: case_id, n (order), at, action, analyst, resolution.  What an action does depends on all earlier ones of its case, but only through
+    the entry's status and holder.  A case of more than ``hot_rows`` actions is cut into runs by time: each run says in its own task what
+    it makes of every status it can start in, these few rows are chained over the case's runs, and each run is folded from its true
+    start.  Rows are sorted inside partitions and streamed through in Arrow batches.  Actions of one instant stay in one run.
     """
-    cols = ["case_id", "n", "at", "action", "analyst", "resolution"]
-
-    def fold(batches):
-        case, status, holder, solver = object(), "open", None, None
-        for pdf in batches:
-            out = []
-            for row in pdf[["case_id", "action", "analyst"]].itertuples(index=False):
-                if row.case_id != case:
-                    case, status, holder, solver = row.case_id, "open", None, None
-                status, holder, solver, err = _step(status, holder, solver, row.action, row.analyst)
-                out.append((status, holder, solver, err))
-            pdf = pdf.copy()
-            for i, name in enumerate(("status", "claimed_by", "resolved_by", "error")):
-                pdf[name] = [o[i] for o in out]
-            yield pdf
-
-    sorted_log = log.select(*cols).repartition("case_id").sortWithinPartitions("case_id", "at", "n")
-    return sorted_log.mapInPandas(fold, _ENTRY)
-
-
-def queue_state(log: DataFrame) -> DataFrame:
+    timed = log.select(*_COLS).withColumn("t", F.unix_micros("at"))
+    hot = hot_keys(timed, ["case_id"], "t", settings.hot_rows)
+    parts = with_chunks(timed, ["case_id"], "t", hot).withColumn("part", F.coalesce(CHUNK, F.lit(-1))).drop(CHUNK)
+    start = ("s_status", "s_holder", "s_solver")
+    if hot is None:
+        runs = parts.withColumns({c: F.lit(None).cast("string") for c in start})
+    else:
+        sort = lambda df, *by: df.repartition("case_id", "part").sortWithinPartitions("case_id", "part", *by)
+        outcomes = sort(parts.filter("part >= 0").select("case_id", "part", "at", "n", "action", "analyst"), "at", "n").mapInPandas(
+            _run_outcomes, "case_id long, part long, start string, status string, holder string, solver string")
+        starts = outcomes.repartition("case_id").sortWithinPartitions("case_id", "part").mapInPandas(
+            _chain, "case_id long, part long, " + ", ".join(f"{c} string" for c in start))
+        runs = parts.join(starts, ["case_id", "part"], "left")
+    return runs.drop("t").repartition("case_id", "part").sortWithinPartitions("case_id", "part", "at", "n").mapInPandas(_fold, _ENTRY)
+
+
+def queue_state(log: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Current entry per case, with how many actions were accepted and refused."""
-    a = apply_actions(log)
+    a = apply_actions(log, settings)
     order = F.struct("at", "n")
     resolved = (F.col("action") == "resolve") & F.col("error").isNull()
     return a.groupBy("case_id").agg(

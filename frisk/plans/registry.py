@@ -492,14 +492,14 @@ def online_adjustments(spark, d):
     return with_online_adjustment(rows, feedback_log(spark, d)).select("seq", "updates", rounded(F.col("online_adjustment"), 5).alias("online_adjustment"))
 
 
-@query("adjusted_actions", f"""{_LEARN} SELECT seq, updates, round(risk, 5) AS risk, {Q.action_sql('risk', 'rank', f'fraud_proba >= {Q.THRESHOLD}')} AS action
+@query("adjusted_actions", f"""{_LEARN} SELECT seq, updates, round(risk, 8) + 0e0 AS risk, {Q.action_sql('risk', 'rank', f'fraud_proba >= {Q.THRESHOLD}')} AS action
  FROM (SELECT c.seq, updates, rank, fraud_proba, greatest(0e0, least(1e0, c.risk + adjustment)) AS risk FROM cases c JOIN adj ON adj.seq = c.seq)""")
 def adjusted_actions(spark, d):
     """Every decision with its risk corrected by the verdicts that had come by its time."""
     from frisk.ml.feedback_adjust import adjusted_cases
     rows = kept(with_age(_features(spark, d), event_customers(spark, d)))
     told = rows.withColumns({c: rounded(F.col(c), 6) for c in _ADJUST})
-    return adjusted_cases(rows, fixed_scorer, THRESHOLD, feedback_log(spark, d), features=told).select("seq", "updates", rounded(F.col("risk"), 5).alias("risk"), "action")
+    return adjusted_cases(rows, fixed_scorer, THRESHOLD, feedback_log(spark, d), features=told).select("seq", "updates", rounded(F.col("risk"), 8).alias("risk"), "action")
 
 
 @query("maturity_weights", f"""{Q.with_(Q.BASE)}, m AS (SELECT max(t) AS now FROM txn)
@@ -874,6 +874,32 @@ def replay_page(spark, d):
     return page(_txns(spark, d), 500, 250).select("seq", "rank", "exhausted")
 
 
+@query("replay_seek", f"""{Q.with_(Q.BASE)}, a AS (SELECT seq, amount, row_number() OVER (ORDER BY t, seq) AS r, count(*) OVER () AS n FROM txn)
+ SELECT seq, amount, r AS rank, n <= r0 + 250 AS exhausted FROM a, (SELECT unnest([0, 500, 5000000]) AS r0) WHERE r > r0 AND r <= r0 + 250""")
+def replay_seek(spark, d):
+    """Three pages of one stored table, each from its own time buckets: the first, a middle one, one past the end."""
+    from frisk.functions.keep import folder
+    from frisk.sources.replay import read_page, write_replay
+    path = folder(spark)
+    write_replay(_txns(spark, d), path)
+    first, second, last = (read_page(spark, path, cursor, 250) for cursor in (0, 500, 5_000_000))
+    return first.unionByName(second).unionByName(last).select("seq", "amount", "rank", "exhausted")
+
+
+@query("queue_view", f"""{_QUEUE.rstrip()}, shown AS (SELECT DISTINCT case_id FROM lg WHERE case_id % 2 = 0)
+ SELECT s.case_id, coalesce(f.status, 'open') AS status, f.holder AS claimed_by, f.solver AS resolved_by, CAST(s.case_id % 7 AS VARCHAR) AS merchant_id FROM shown s LEFT JOIN fin f ON f.case_id = s.case_id
+ WHERE coalesce(f.status, 'open') <> 'resolved'""")
+def queue_view(spark, d):
+    """Waiting and claimed entries with their case's fields."""
+    log = kept(action_log(spark, d))
+    entries = log.filter("case_id % 2 = 0").groupBy("case_id").agg(F.min("at").alias("queued_at"))
+    shown = entries.select(F.col("case_id").alias("seq"), (F.col("case_id") % 7).cast("string").alias("merchant_id"), F.lit("").alias("city"), F.lit("IN").alias("country"),
+                           F.col("queued_at").alias("ts"))
+    state = kept(review_queue.queue_state(log))
+    views = [review_queue.queue_view(entries, state, shown, status) for status in ("open", "claimed")]
+    return views[0].unionByName(views[1]).select("case_id", "status", "claimed_by", "resolved_by", "merchant_id")
+
+
 @query("profile_snapshot", f"""{Q.with_(Q.BASE)} SELECT cust_id, count(*) AS n, round(avg(amount), 6) AS mean_amount, max(amount) AS max_amount, arg_max(country, t) AS last_country, max(t) AS last_t
  FROM txn WHERE label = 0 GROUP BY cust_id""")
 def profile_snapshot(spark, d):

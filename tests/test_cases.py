@@ -175,6 +175,29 @@ def test_queue_claim_release_resolve(spark):
     assert [r["case_id"] for r in review_queue.queue_view(q, review_queue.queue_state(df), cases, "resolved").collect()] == [1]
 
 
+def test_queue_of_a_long_case_in_runs_equals_the_row_fold(spark):
+    import random
+    from frisk.config import DEFAULT
+    rng = random.Random(12)
+    people = ["ann", "bob", "open", "resolved", "other", "null", "same", None]
+    log = []
+    for case in range(1, 8):
+        busy = rng.choice([["claim"], ["claim", "release"], ["claim", "release", "resolve", "burn"]])
+        for i in range(40 if case > 2 else 400):
+            log.append((case, len(log), at(i // 3), rng.choice(busy), rng.choice(people[:2] if rng.random() < 0.5 else people), "fraud"))
+    df = spark.createDataFrame(log, "case_id long, n long, at timestamp, action string, analyst string, resolution string")
+    want, entry = {}, {}
+    for case, n, _, action, who, _ in sorted(log, key=lambda r: (r[0], r[2], r[1])):
+        *state, error = review_queue._step(*entry.get(case, ("open", None, None)), action, who)
+        entry[case], want[n] = tuple(state), (*state, error)
+    pick = lambda d: {r["n"]: (r["status"], r["claimed_by"], r["resolved_by"], r["error"]) for r in d.collect()}
+    for hot in (10**6, 150, 7):
+        assert pick(review_queue.apply_actions(df, DEFAULT.with_(hot_rows=hot))) == want
+    assert review_queue.apply_actions(df.limit(0), DEFAULT.with_(hot_rows=7)).count() == 0
+    state = lambda hot: sorted(review_queue.queue_state(df, DEFAULT.with_(hot_rows=hot)).collect(), key=lambda r: r["case_id"])
+    assert state(7) == state(10**6)
+
+
 def feedback(spark, rows):
     return spark.createDataFrame(rows, "log_id long, cust_id string, ts timestamp, amount double, label int, recorded_at timestamp")
 

@@ -196,3 +196,21 @@ def test_a_long_report_is_not_cut(spark):
     assert sinks.markdown_table(spark.range(300)).count("\n") == 301
     with pytest.raises(ValueError):
         sinks.markdown_table(spark.range(300), most=200)
+
+
+def test_pages_by_seek_equal_ranked_pages_and_read_their_buckets_alone(spark, scratch):
+    from frisk.config import DEFAULT
+    from frisk.sources.replay import page, read_page, write_replay
+    df = spark.range(900).select(F.col("id").alias("seq"), F.timestamp_seconds(F.floor(F.when(F.col("id") < 300, 77).otherwise(F.col("id") * 7))).alias("ts"),
+                                 (F.col("id") * 2).alias("amount"))  # 300 rows of one instant, then one every 7 s
+    s = DEFAULT.with_(prior_bucket_s=70)
+    write_replay(df, f"{scratch}/r", s)
+    for cursor, limit in ((0, 10), (150, 200), (295, 30), (890, 10), (890, 50), (900, 5), (5000, 5), (0, 900)):
+        got = read_page(spark, f"{scratch}/r", cursor, limit)
+        want = page(df, cursor, limit, s)
+        key = lambda d: sorted((r["rank"], r["seq"], r["amount"], r["exhausted"]) for r in d.collect())
+        assert key(got) == key(want)
+    plan = read_page(spark, f"{scratch}/r", 600, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
+    write_replay(df.limit(0), f"{scratch}/e", s)
+    assert read_page(spark, f"{scratch}/e", 0, 5).count() == 0
