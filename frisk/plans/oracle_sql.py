@@ -29,6 +29,18 @@ ev AS (
   FROM base),
 txn AS (SELECT * FROM ev WHERE type = 'txn')"""
 
+# the events with bursts and a wide range of values
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+_BUSY = f"""(SELECT event_id, user_id, event_type, props, make_timestamp(t - t % 864000000000 + t % 864000000000 // squeeze) AS ts, value * times AS value FROM
+   (SELECT *, CASE WHEN user_id % 3 = 2 THEN 1 WHEN t // 864000000000 % 4 = 3 THEN 240 ELSE 2880 END AS squeeze,
+      CASE WHEN {_K} % 23 = 0 THEN 2e2 WHEN {_K} % 20 = 0 THEN 1e2 WHEN {_K} % 20 = 10 THEN 15e0 WHEN {_K} % 5 = 1 THEN 2e-2 ELSE 1e0 END AS times FROM (SELECT *, epoch_us(ts) AS t FROM events)))"""
+
+
+def on_busy(sql: str) -> str:
+    """A statement over ``events``, asked of the busy ones."""
+    return sql.replace(" AS k FROM events)", f" AS k FROM {_BUSY})")
+
+
 _PREV = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 

@@ -18,7 +18,7 @@ from frisk.operators.profile import profile_features
 from frisk.operators.rules import with_rules
 from frisk.plans import oracle_sql as Q
 from frisk.plans.features import case_table, feature_rows, scored_cases, with_age
-from frisk.sources.tables import event_customers, events_as_account_events, payments, read, shipments_as_account_events
+from frisk.sources.tables import busy_account_events, event_customers, events_as_account_events, payments, read, shipments_as_account_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,6 +160,36 @@ def case_graph_size(spark, d):
     return n.join(edges.groupBy("seq").agg(F.count(F.lit(1)).alias("edges")), "seq")
 
 
+# --- the same over bursts and large amounts -------------------------------------------------
+
+def _busy_profile(spark, d, s=DEFAULT):
+    return profile_features(busy_account_events(spark, d), event_customers(spark, d), None, s)
+
+
+def _busy_features(spark, d):
+    events = busy_account_events(spark, d)
+    return feature_rows(events, event_customers(spark, d), entities=entity_features(events.filter("type = 'txn'")))
+
+
+_BUSY_COLUMNS = (*PROFILE_QUERIES["profile_velocity"], *PROFILE_QUERIES["profile_logins"], *PROFILE_QUERIES["profile_novelty"], *PROFILE_QUERIES["velocity_baseline"],
+                 "amount_z", "amount_to_max", "speed_kmh", "secs_since_last", "seq_surprise", "seq_new_token", "seq_regime_kl")
+for _name, _s in (("busy_profile", DEFAULT), ("busy_profile_hot_keys", DEFAULT.with_(hot_rows=40))):
+    query(_name, Q.on_busy(f"{Q.P} SELECT seq, {_r(*_BUSY_COLUMNS, places=6)} FROM prof"))(
+        lambda spark, d, s=_s: _cols(_busy_profile(spark, d, s), *_BUSY_COLUMNS, places=6))  # whole micros: six places
+
+
+@query("busy_rule_hits", Q.on_busy(f"{Q.X} SELECT seq, code, severity, message FROM hits"))
+def busy_rule_hits(spark, d):
+    """Every rule meets rows that fire it."""
+    return with_rules(_busy_features(spark, d)).select("seq", F.explode("hits").alias("h")).select("seq", "h.code", "h.severity", "h.message")
+
+
+@query("busy_scores_and_actions", Q.on_busy(f"{Q.C} SELECT seq, {_r('fraud_proba', 'anomaly', 'risk', places=8)}, action FROM cases"))
+def busy_scores_and_actions(spark, d):
+    c = scored_cases(with_age(_busy_features(spark, d), event_customers(spark, d)), fixed_scorer, THRESHOLD, DEFAULT)
+    return _cols(c, "fraud_proba", "anomaly", "risk", places=8).join(c.select("seq", "action"), "seq")
+
+
 # --- rules and decisions --------------------------------------------------------------------
 
 @query("rules_only_mix", f"""{Q.with_(Q.BASE, Q.PROFILE, "prof_ AS (SELECT prof.*, 0e0 AS entity_max_fraud_rate, 0e0 AS ring_size FROM prof)",

@@ -54,6 +54,27 @@ def map_events(e: DataFrame) -> DataFrame:
     ))
 
 
+_BLOCK_US = 10 * 86400 * 1_000_000
+
+
+def busy(e: DataFrame) -> DataFrame:
+    """``events`` with bursts and a wide range of values, so that every rule meets rows; columns stay.
+
+    Each customer's ten-day blocks are squeezed to start at the block's beginning: the first block of every fourth to an hour, the later ones to five
+    minutes; every third customer keeps the times.  Values of some rows are multiplied, by what the row's number says.
+    """
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    block, inside = F.floor(t / _BLOCK_US), F.pmod(t, F.lit(_BLOCK_US))
+    squeeze = F.when(F.col("user_id") % 3 == 2, 1).when(block % 4 == 3, 240).otherwise(2880)
+    times = F.when(k % 23 == 0, 200.0).when(k % 20 == 0, 100.0).when(k % 20 == 10, 15.0).when(k % 5 == 1, 0.02).otherwise(1.0)
+    return e.withColumns({"ts": F.timestamp_micros(block * _BLOCK_US + F.floor(inside / squeeze)), "value": F.col("value") * times})
+
+
+def busy_account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_events(busy(read(spark, sf_dir, "events")))
+
+
 def event_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer dimension of the same mapping."""
     e = read(spark, sf_dir, "events").select("user_id").distinct()
