@@ -136,8 +136,7 @@ def _hot(e: DataFrame, grid: DataFrame, early_logins: bool) -> DataFrame:
         e.filter(F.col("type") == "txn")
         .groupBy("cust_id")
         .agg(F.min(F.struct("t", "seq")).alias("first_txn"),
-             F.min(F.when(F.col("country").isNotNull(), F.struct("t", "seq", "country"))).alias("first_home"),
-             F.avg("amount").alias("center"))
+             F.min(F.when(F.col("country").isNotNull(), F.struct("t", "seq", "country"))).alias("first_home"))
     )  # one row per hot customer
     e = e.join(first_txn, "cust_id", "left")
     e = e.withColumn("txns_before", F.when(F.struct("t", "seq") > F.struct("first_txn.t", "first_txn.seq"), 1).otherwise(0))
@@ -200,27 +199,24 @@ def _hot(e: DataFrame, grid: DataFrame, early_logins: bool) -> DataFrame:
         .withColumn(CHUNK, chunk_of(F.col("t")))
     )
     here = lambda c: F.when((F.col("ord") == 2) & F.col("acc").isNotNull(), c)
-    dev = F.col("amount") - F.col("center")
     moved = running(moved, ["cust_id"], ["t", "ord", "seq"], [
         *[Fold(k, "sum", F.col("d_" + k)) for k in moves],
         Fold("n", "sum", here(F.lit(1))),
-        Fold("sum_dev", "sum", here(dev)),
-        Fold("sum_dev2", "sum", here(dev * dev)),
+        Fold("spread", "moments", here(F.col("amount"))),
         Fold("mx", "max", here(F.col("amount"))),
         Fold("last", "last", here(F.struct("t", "lat", "lon"))),
         Fold("vocab", "sum", here(F.when(F.col("k_token") == 0, 1))),
     ], chunked=True)
     n = F.coalesce(F.col("n"), F.lit(0))
-    var = (F.col("sum_dev2") - F.col("sum_dev") * F.col("sum_dev") / n) / (n - 1)
     rows = moved.filter(F.col("ord") == 2).withColumns({
         **{k: F.coalesce(F.col(k), F.lit(0)) for k in (*moves, "vocab")},
         "n": n,
-        "mean": F.when(n > 0, F.col("center") + F.col("sum_dev") / n),
-        "sd": F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))),
+        "mean": F.when(n > 0, F.col("spread.mean")),
+        "sd": F.when(n > 1, F.sqrt(F.col("spread.m2") / (n - 1))),
         **{k: F.coalesce(F.col(k), F.lit(0)).cast("double") + F.coalesce(F.col(k + "_part"), F.lit(0)).cast("double") / _STEPS for k in ("s1", "s24")},
         "home": F.when(F.struct("t", "seq") >= F.struct("first_home.t", "first_home.seq"), F.col("first_home.country")),
         "opened": F.col("first_txn.t"),
-    }).drop(*["d_" + k for k in moves], "s1_part", "s24_part", "sum_dev", "sum_dev2", "ord")
+    }).drop(*["d_" + k for k in moves], "s1_part", "s24_part", "spread", "ord")
 
     # personal peaks: a row's own counts become readable one hour later
     done = F.array(
@@ -325,7 +321,7 @@ def _finish(raw: DataFrame, s: Settings) -> DataFrame:
         "peak_1h": F.coalesce(dbl("peak_1h"), F.lit(0.0)),
         "history_n": dbl("n"),
     }
-    drop = [c for c in (*_RAW, "t", "acc", "tok", "txns_before", CHUNK, "first_txn", "first_home", "center",
+    drop = [c for c in (*_RAW, "t", "acc", "tok", "txns_before", CHUNK, "first_txn", "first_home",
                         "_cuts", "ord", "p5", "p1", "home_country", "account_open")
             if c in raw.columns and c not in feats]
     return raw.withColumns(feats).drop(*drop)

@@ -22,15 +22,23 @@ _LEAST_MARKS = 128
 @dataclass(frozen=True)
 class Fold:
     name: str
-    op: str  # sum | max | min | last
+    op: str  # sum | max | min | last | moments: (n, mean, m2), m2 the sum of squared deviations from the mean
     value: Column  # NULL = the row does not take part
 
+    def _moments(self, over=lambda c: c) -> Column:
+        n = over(F.count(self.value))
+        return F.struct(n.alias("n"), over(F.avg(self.value)).alias("mean"), (over(F.var_pop(self.value)) * n).alias("m2"))
+
     def agg(self) -> Column:
+        if self.op == "moments":
+            return self._moments()
         return {"sum": F.sum, "max": F.max, "min": F.min}[self.op](self.value)
 
     def over(self, w) -> Column:
         if self.op == "last":
             return F.last(self.value, ignorenulls=True).over(w)
+        if self.op == "moments":
+            return self._moments(lambda c: c.over(w))
         return self.agg().over(w)
 
     def total(self, order: Column) -> Column:
@@ -38,8 +46,21 @@ class Fold:
             return F.max_by(self.value, F.when(self.value.isNotNull(), order))
         return self.agg()
 
+    def prepare(self, totals: DataFrame, w) -> DataFrame:
+        """Totals as ``carry`` sums them.  A chunk's share in the joint m2 is its own plus the gap between its mean and that of all
+        chunks before: only terms of one sign, so nothing cancels however far the chunks lie apart."""
+        if self.op != "moments":
+            return totals
+        n, mean = F.col(self.name + ".n"), F.col(self.name + ".mean")
+        totals = totals.withColumns({"_n": F.sum(n).over(w), "_s": F.sum(n * mean).over(w)})
+        gap = F.when((F.col("_n") > 0) & (n > 0), F.pow(mean - F.col("_s") / F.col("_n"), F.lit(2.0)) * F.col("_n") * n / (F.col("_n") + n)).otherwise(0.0)
+        return totals.withColumn(self.name, F.struct(n.alias("n"), (n * mean).alias("s"), (F.coalesce(F.col(self.name + ".m2"), F.lit(0.0)) + gap).alias("m2"))).drop("_n", "_s")
+
     def carry(self, w) -> Column:
         c = F.col(self.name)
+        if self.op == "moments":
+            n = F.sum(c["n"]).over(w)
+            return F.when(n > 0, F.struct(n.alias("n"), (F.sum(c["s"]).over(w) / n).alias("mean"), F.sum(c["m2"]).over(w).alias("m2")))
         if self.op == "last":
             return F.last(c, ignorenulls=True).over(w)
         return {"sum": F.sum, "max": F.max, "min": F.min}[self.op](c).over(w)
@@ -49,6 +70,12 @@ class Fold:
             return F.when(carried.isNull(), inside).when(inside.isNull(), carried).otherwise(carried + inside)
         if self.op == "last":
             return F.coalesce(inside, carried)
+        if self.op == "moments":
+            a, b = carried, inside
+            n = a["n"] + b["n"]
+            both = F.struct(n.alias("n"), ((a["n"] * a["mean"] + b["n"] * b["mean"]) / n).alias("mean"),
+                            (a["m2"] + b["m2"] + F.pow(b["mean"] - a["mean"], F.lit(2.0)) * a["n"] * b["n"] / n).alias("m2"))
+            return F.when(carried.isNull(), inside).when(b["n"] == 0, carried).otherwise(both)
         return (F.greatest if self.op == "max" else F.least)(carried, inside)
 
 
@@ -99,6 +126,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], folds: list[Fold],
         df.filter(F.col(CHUNK).isNotNull()).groupBy(*part).agg(*[f.total(at).alias(f.name) for f in folds])
     )
     wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    for f in folds:
+        totals = f.prepare(totals, wc)
     carry = totals.select(*part, *[f.carry(wc).alias("_c_" + f.name) for f in folds])
     # NULL keys carry over like any other
     right = carry.select(*[F.col(c).alias("_k_" + c) for c in part], *[c for c in carry.columns if c not in part])

@@ -191,3 +191,13 @@ def test_missing_coordinates_are_no_travel(spark):
     rows = [txn(0, 0), txn(1, 600, lat=None, lon=None), txn(2, 1200)]
     got = by_seq(profile_features(frame(spark, rows)), ["dist_from_last_km", "speed_kmh", "impossible_travel"])
     assert all(tuple(r)[1:] == (0.0, 0.0, 0.0) for r in got.values())
+
+
+def test_spread_of_near_amounts_survives_large_ones_of_the_same_customer(spark):
+    """Early amounts a cent apart, later ones in the millions: the sum of squares must not cancel on the hot route."""
+    amounts = [54.11, 54.12, 54.13, 54.11, 54.14, 60.0, *[1e6 + 1e5 * i for i in range(30)], 54.0]
+    ev = frame(spark, [txn(i, 60.0 * i, amount=a) for i, a in enumerate(amounts)])
+    cold, hot = (by_seq(profile_features(ev, None, None, DEFAULT.with_(hot_rows=n)), ["amount_z", "amount_to_max", "history_n"]) for n in (10**6, 4))
+    for seq in cold:
+        for name in ("amount_z", "amount_to_max", "history_n"):
+            assert abs(cold[seq][name] - hot[seq][name]) <= 1e-9 * max(1.0, abs(cold[seq][name])), (seq, name, cold[seq][name], hot[seq][name])
