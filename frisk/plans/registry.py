@@ -957,14 +957,14 @@ def train_model(spark, d):
                                  "brier_raw double, brier_calibrated double, cost_threshold double")
 
 
-def _run_stream(spark, d, make, *names: str) -> DataFrame:
-    """Drain a stream over the events file into a table and read it back."""
+def _run_stream(spark, d, make, *names: str, shape=lambda e: e) -> DataFrame:
+    """Drain a stream over the events file, ``shape``d before it is mapped, into a table and read it back."""
     from frisk.functions.keep import folder
     from frisk.sources.tables import map_events
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = folder(spark)
     raw = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    q = (make(map_events(raw)).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    q = (make(map_events(shape(raw))).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out").select(*names)
@@ -1021,6 +1021,16 @@ def stream_restored_scores(spark, d):
     return both.select("seq", *[rounded(F.col(c), 8).alias(c) for c in names], "action")
 
 
+@query("busy_stream_scores", Q.on_busy(f"{Q.C} SELECT seq, {_r('fraud_proba', 'anomaly', 'risk', places=8)}, action FROM cases"))
+def busy_stream_scores(spark, d):
+    """As stream_scores_and_actions over bursts and large amounts: every rule fires on rows scored from keyed state."""
+    from frisk.sources.tables import busy
+    from frisk.streaming.event_scoring import case_stream, feature_stream
+    names = ("fraud_proba", "anomaly", "risk")
+    rows = _run_stream(spark, d, lambda e: case_stream(feature_stream(e, None, THRESHOLD, event_customers(spark, d)), fixed_scorer, THRESHOLD), "seq", *names, "action", shape=busy)
+    return rows.select("seq", *[rounded(F.col(c), 8).alias(c) for c in names], "action")
+
+
 _STREAM_FEATURES = ("amount_z", "amount_to_max", "new_merchant", "new_country", "new_device", "new_beneficiary", "is_foreign", "dist_from_last_km", "speed_kmh",
                     "impossible_travel", "secs_since_last", "txn_count_24h", "amt_sum_24h", "distinct_merchants_24h", "failed_logins_1h", "account_age_days",
                     "seq_surprise", "seq_new_token", "seq_repeat_5", "seq_regime_kl", "peak_1h", "history_n")
