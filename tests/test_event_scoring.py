@@ -78,6 +78,15 @@ def test_a_new_stream_continues_from_a_snapshot(spark, scratch):
     same(cases, frame(spark, rows))
 
 
+def test_zero_amounts_without_a_record_stream_as_in_batch(spark, scratch):
+    rows = [*[login(i, 60.0 * i, success=0) for i in range(6)], txn(6, 400, amount=0), txn(7, 460, amount=0, device_id="d9"), txn(8, 520, amount=70), txn(9, 580, amount=0)]
+    deliver(spark, rows, f"{scratch}/in", [0, 10])
+    drain(spark, scratch)
+    cases = spark.read.parquet(f"{scratch}/out/cases")
+    assert sorted(r["seq"] for r in cases.filter(F.isnan("amount_to_max")).collect())[0] == 6
+    same(cases, frame(spark, rows))
+
+
 def test_row_policy_equals_the_column_rules(spark):
     rng, feats = random.Random(2), []
     values = {"amount": [50, 150, 900, 6000, 30000, 60000, 250000, 2e6], "amount_z": [0, 1.6, 2.5, 5], "amount_to_max": [0.5, 2], "history_n": [0, 19, 20, 50],

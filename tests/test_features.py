@@ -201,3 +201,11 @@ def test_spread_of_near_amounts_survives_large_ones_of_the_same_customer(spark):
     for seq in cold:
         for name in ("amount_z", "amount_to_max", "history_n"):
             assert abs(cold[seq][name] - hot[seq][name]) <= 1e-9 * max(1.0, abs(cold[seq][name])), (seq, name, cold[seq][name], hot[seq][name])
+
+
+def test_a_zero_amount_without_a_record_has_no_ratio(spark):
+    """0 / 0 stopped the whole job; a zero amount after a record is 0 of it."""
+    ev = frame(spark, [txn(0, 0, amount=0), txn(1, 60, amount=0), txn(2, 120, amount=50), txn(3, 180, amount=0), txn(4, 240, amount=25)])
+    for hot_rows in (10**6, 2):
+        got = by_seq(profile_features(ev, None, None, DEFAULT.with_(hot_rows=hot_rows)), ["amount_to_max"])
+        assert [str(got[i]["amount_to_max"]) for i in range(5)] == ["nan", "nan", "1.0", "0.0", "0.5"]
