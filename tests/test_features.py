@@ -209,3 +209,19 @@ def test_a_zero_amount_without_a_record_has_no_ratio(spark):
     for hot_rows in (10**6, 2):
         got = by_seq(profile_features(ev, None, None, DEFAULT.with_(hot_rows=hot_rows)), ["amount_to_max"])
         assert [str(got[i]["amount_to_max"]) for i in range(5)] == ["nan", "nan", "1.0", "0.0", "0.5"]
+
+
+def test_only_hot_entities_take_the_hot_route(spark, monkeypatch):
+    """Rows of cold entities were joined to carries as soon as one entity was hot, and a task's rows followed the input."""
+    from frisk.operators import entity
+    rows = [r for r in random_rows(seed=21, n=240) if r["type"] == "txn"]
+    seen = []
+    folds = entity._entity_folds
+    monkeypatch.setattr(entity, "_TASK_ROWS", 40)
+    monkeypatch.setattr(entity, "_entity_folds", lambda r, s, chunked: seen.append((chunked, r)) or folds(r, s, chunked))
+    got = entity_features(frame(spark, rows), DEFAULT.with_(label_delay_hours=12, prior_bucket_s=3600))
+    close(by_seq(got, ENTITY_CHECKED), sequential.all_entities(rows, delay_s=12 * 3600), ENTITY_CHECKED)
+    (cold, a), (cut, b) = seen
+    assert (cold, cut) == (False, True) and a.count() > 0 and b.count() > 0
+    assert max(r["count"] for r in b.groupBy("kind", "key", "_chunk").count().collect()) < 120  # observations and outcomes of 40 observations or so
+    assert a.rdd.getNumPartitions() >= len(rows) * 3 // 40
