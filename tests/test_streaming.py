@@ -1,6 +1,7 @@
 import os
 import time
 
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -105,3 +106,89 @@ def test_only_a_missing_history_is_none(spark, scratch):
     spark.range(3).write.mode("overwrite").parquet(f"{scratch}/s/history")  # without batches: another table
     with pytest.raises(AnalysisException):
         scorer._history(spark, 1)
+
+
+class States:
+    """A handle whose state variables are held in memory and whose calls are counted; serves one group."""
+
+    class Var:
+        def __init__(self, count):
+            self.count, self.rows, self.one = count, {}, None
+
+        def __getattr__(self, name):
+            self.count()
+            return {"getValue": self.rows.get, "updateValue": self.rows.__setitem__, "containsKey": self.rows.__contains__, "removeKey": self.rows.pop,
+                    "exists": lambda: self.one is not None, "get": lambda: self.one, "update": lambda v: setattr(self, "one", v)}[name]
+
+    class Rows(Var):
+        def __getattr__(self, name):
+            self.count()
+            return {"exists": lambda: bool(self.one), "get": lambda: iter(self.one or []), "put": lambda v: setattr(self, "one", v), "clear": lambda: setattr(self, "one", None)}[name]
+
+    def __init__(self):
+        self.calls = 0
+
+    def call(self, *_):
+        self.calls += 1
+
+    def getMapState(self, *_):
+        return self.Var(self.call)
+
+    getValueState, registerTimer = getMapState, call
+
+    def getListState(self, *_):
+        return self.Rows(self.call)
+
+
+def fed(processor, key, *batches):
+    """Rows a processor gives for the batches, and the state calls it made."""
+    states, out = States(), []
+    processor.init(states)
+    for b in batches:
+        out += [p for p in processor.handleInputRows(key, iter([b]), None)]
+    return pd.concat(out).reset_index(drop=True), states.calls
+
+
+def test_entity_state_takes_few_calls_for_many_customers():
+    """A merchant of many customers asked its state three times for each of them."""
+    day, n = 86400 * 10**6, 2000
+    at = 1_700_000_000 * 10**6
+    rows = pd.DataFrame({"kind": "merchant", "key": "m1", "seq": range(2 * n), "cust_id": [f"u{i * 7 % 1500}" for i in range(2 * n)], "ts": pd.Timestamp("2024-01-01"),
+                         "t": [at + i * day // 500 for i in range(2 * n)], "label": [int(i % 97 == 0) for i in range(2 * n)]})
+    make = lambda: stateful.EntityProcessor(day, 30, 90)
+    whole, calls = fed(make(), ("merchant", 0), rows)
+    assert calls < 60
+    parts, calls = fed(make(), ("merchant", 0), rows[:300], rows[300:n], rows[n:])
+    assert calls < 160
+    pd.testing.assert_frame_equal(parts, whole)
+    assert whole["fanout"].iloc[-1] == 1500 and (whole["f_others"] > 0).any()
+
+
+def test_profiles_of_a_group_take_few_calls():
+    """A profile asked its state twice for every merchant it learned, and a call served one customer alone."""
+    n, at = 3000, 1_700_000_000 * 10**6
+    rows = pd.DataFrame({"type": "txn", "seq": range(n), "cust_id": [f"u{i % 2 * (i % 11)}" for i in range(n)], "t": [at + i * 60 * 10**6 for i in range(n)], "acc": 1.0,
+                         "amount": [float(i % 50) for i in range(n)], "merchant_id": [f"m{i * 13 % 1400}" for i in range(n)], "country": "IN", "device_id": "d", "beneficiary": "", "success": 0})
+    make = lambda: stateful.ProfileProcessor(30 * 86400)
+    whole, calls = fed(make(), (0,), rows)
+    assert calls < 100
+    parts, _ = fed(make(), (0,), rows[:100], rows[100:1700], rows[1700:])
+    order = lambda df: df.sort_values("seq").reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(parts), order(whole))
+    first = ~rows.duplicated(["cust_id", "merchant_id"])
+    assert list(order(whole)["new_merchant"] == 1.0) == list(first)
+
+
+def test_an_idle_entity_is_pruned_and_an_outcome_that_falls_due_is_kept():
+    from types import SimpleNamespace
+    day = 86400 * 10**6
+    row = lambda key, label: {"kind": "device", "key": key, "seq": label, "cust_id": "u", "ts": None, "t": stateful.ANCHOR_US, "label": label}
+    states, p = States(), stateful.EntityProcessor(3 * day, 30, 90)
+    p.init(states)
+    list(p.handleInputRows(("device", 0), iter([pd.DataFrame([row("good", 0), row("bad", 1)])]), None))
+    assert set(p.total.rows) == {("good",), ("bad",)} and len(p.alarms.rows) == 2  # the outcome's, and the idle time of both
+    p.total.rows[("good",)] = (0.5, *p.total.rows[("good",)][1:])  # less than one observation left
+    for (at,) in sorted(p.alarms.rows):
+        list(p.handleExpiredTimer(("device", 0), SimpleNamespace(getCurrentWatermarkInMs=lambda at=at: at), SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)))
+    assert set(p.total.rows) == {("bad",)} == {k[:1] for k in p.own.rows} and not p.alarms.rows
+    assert p.total.rows[("bad",)][1] > 0 and p.total.rows[("bad",)][5] == []
