@@ -191,4 +191,4 @@ def test_an_idle_entity_is_pruned_and_an_outcome_that_falls_due_is_kept():
     for (at,) in sorted(p.alarms.rows):
         list(p.handleExpiredTimer(("device", 0), SimpleNamespace(getCurrentWatermarkInMs=lambda at=at: at), SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)))
     assert set(p.total.rows) == {("bad",)} == {k[:1] for k in p.own.rows} and not p.alarms.rows
-    assert p.total.rows[("bad",)][1] > 0 and p.total.rows[("bad",)][5] == []
+    assert p.total.rows[("bad",)][1] > 0 and p.total.rows[("bad",)][5] == 0 and not p.due.rows
