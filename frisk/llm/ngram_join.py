@@ -19,7 +19,8 @@ elements are the buckets of the next level.  A pair is left out only if links fo
 the two (their components are kept up to date level by level), and a bucket only if they connect all of it.  D is split into added (A) and removed (R) elements; a pair without a common added element needs
 |A(x)| + |A(y)| + ||R(x)| - |R(y)|| <= s(|x| + |y|), so with d the smallest |A| - |R| of the bucket, only members with
 |D| + d <= s(|x| + |y|) have to be looked up by removed elements, and only by a prefix of them.  Added elements are a prefix too: y
-lacks at most s(|x| + |y|) elements of A(x), so one more of them in one order holds the first common one.  No candidate is capped or skipped.
+lacks at most the share of x that linked sets may lack, so one more of A(x) in one order holds the first common one.  Buckets of later levels are paired up
+to a fixed size, their sketches compared inside the join, so only pairs that can link leave it.  No candidate is capped or skipped.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ from frisk.functions.keep import Scratch, stored
 from frisk.llm.components import components
 from frisk.llm.rows import slices
 
-SPARE = 2
+SPARE, SPARE_SHARE = 2, 8  # spare parts: so many at least, one for so many elements of difference
 BROADCAST_IDS = 1_000_000  # 16 bytes each
 SMALL, REFERENCE_ROWS = 12, 16  # buckets up to SMALL members are paired directly; about so many rows vote on a reference set
+PAIRED = 512  # and those of later levels up to so many, by their sketches inside the join
 
 
 @dataclass(frozen=True)
@@ -126,9 +128,10 @@ def signatures(grams: np.ndarray, rule: Similarity) -> np.ndarray:
 def _signatures(grams: np.ndarray, rule: Similarity) -> tuple[np.ndarray, list[int]]:
     """Signatures, and by their last bit how many of them a linked set shares beyond the first.
 
-    Where subsets are single second-level parts there are ``SPARE`` parts more than needed, so linked sets agree on more than
-    ``SPARE`` of them.  Parts without an element say nothing and are left out by sets that have ``SPARE`` of them at most:
-    such a set agrees with every linked one on a part that has elements, and on ``SPARE`` more less its empty ones.
+    Where subsets are single second-level parts there are spare parts, more than needed, so linked sets agree on more parts than
+    are spare.  Parts without an element say nothing and are left out by sets that have no more of them than are spare:
+    such a set agrees with every linked one on a part that has elements, and on the spare ones more less its empty ones.
+    Spare parts grow with the difference: a long text holds many parts that one common passage decides.
     """
     number, own, following = rule.band(len(grams))
     scrambled, weights = _mix(grams, 21), _mix(grams, 22)
@@ -139,7 +142,8 @@ def _signatures(grams: np.ndarray, rule: Similarity) -> tuple[np.ndarray, list[i
             out.append(_mix(weights.sum(dtype="uint64", keepdims=True), 40 + instance) & ~np.uint64(1) | last)
             continue
         single = rule.n2 == rule.k2 + 1
-        n1 = -(-(k + 1 + SPARE * single) // (rule.k2 + 1))
+        spare = max(SPARE, k // SPARE_SHARE) if single else SPARE
+        n1 = -(-(k + 1 + spare * single) // (rule.k2 + 1))
         k2 = rule.k2 if single else -(-(k + 1) // n1) - 1
         n2 = rule.n2 if k2 == rule.k2 else k2 + 1
         cell = ((scrambled >> np.uint64(40)) % np.uint64(n1) * np.uint64(n2) + (scrambled & np.uint64(0xFFFFFF)) % np.uint64(n2)).astype("int64")
@@ -147,9 +151,9 @@ def _signatures(grams: np.ndarray, rule: Similarity) -> tuple[np.ndarray, list[i
         np.add.at(sums, cell, weights)
         grid = sums.reshape(n1, n2)
         empty = int((held == 0).sum())
-        drop_empty = n2 == k2 + 1 and n1 * n2 > k + SPARE and empty <= SPARE
+        drop_empty = n2 == k2 + 1 and n1 * n2 > k + spare and empty <= spare
         if drop_empty and single:
-            surplus[instance & 1] = SPARE - empty
+            surplus[instance & 1] = spare - empty
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
             total = _mix(np.arange(n1, dtype="uint64") + np.uint64(((instance + 1) << 40) + (c << 32)), 23)
             for part in chosen:
@@ -250,16 +254,21 @@ def _bits_apart(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
 
 
+def _plausible(rule: Similarity) -> Column:
+    """Whether sizes (nx, ny) and sketches (sx, sy) leave the pair possible."""
+    a, b = rule.differ
+    near = F.least("nx", "ny") * 100 >= rule.percent * F.greatest("nx", "ny")
+    # sizes further apart could not be folded onto each other, hence the condition inside the expression
+    return F.when(near & (F.size("sx") <= 2 * F.size("sy")) & (F.size("sy") <= 2 * F.size("sx")),
+                  b * _bits_apart("sx", "sy") <= a * (F.col("nx") + F.col("ny"))).otherwise(near)
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFrame:
     """``pairs`` (x, y) that their sizes and sketches do not rule out."""
-    a, b = rule.differ
     both = pairs
     for c in "xy":
         both = both.join(sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-    near = F.least("nx", "ny") * 100 >= rule.percent * F.greatest("nx", "ny")
-    # sizes further apart could not be folded onto each other, hence the condition inside the expression
-    return both.filter(F.when(near & (F.size("sx") <= 2 * F.size("sy")) & (F.size("sy") <= 2 * F.size("sx")),
-                              b * _bits_apart("sx", "sy") <= a * (F.col("nx") + F.col("ny"))).otherwise(near)).select("x", "y")
+    return both.filter(_plausible(rule)).select("x", "y")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
@@ -288,6 +297,15 @@ def _direct(buckets: DataFrame) -> DataFrame:
     return pairs.select("x", "y").distinct()
 
 
+def _near(buckets: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFrame:
+    """Pairs (x, y), x < y, of buckets of later levels that are not connected yet and that sketches, carried into the join, do not rule out."""
+    members = buckets.select("b", "id", _own().alias("c")).join(sketches, "id")
+    def side(v):
+        return members.select("b", F.col("id").alias(v), F.col("c").alias(f"c{v}"), F.col("n").alias(f"n{v}"), F.col("sketch").alias(f"s{v}"))
+    pairs = side("x").join(side("y").withColumnRenamed("b", "b2"), (F.col("b") == F.col("b2")) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _plausible(rule))
+    return pairs.select("x", "y").distinct()
+
+
 def _connected(known: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) by the links behind ``known`` and by ``pairs`` (x, y)."""
     own = Scratch(known.sparkSession)
@@ -297,6 +315,12 @@ def _connected(known: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFram
     return out
 
 
+def _small(table: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``table``, broadcast where its rows (or their ``weight``) are few, counted before: a join by group then leaves the rows of a large group where they are."""
+    held = table.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(table) if held <= BROADCAST_IDS else table
+
+
 def _reference(large: DataFrame, sets: DataFrame) -> DataFrame:
     """(p, reference): what most of about ``REFERENCE_ROWS`` members hold."""
     size = large.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
@@ -310,7 +334,7 @@ def _reference(large: DataFrame, sets: DataFrame) -> DataFrame:
     return voters.join(sets.select("id", "grams"), "id").groupBy("p").applyInArrow(vote, "p long, reference array<long>")
 
 
-def _next_level(large: DataFrame, linked: DataFrame, known: DataFrame, sets: DataFrame, sketches: DataFrame, rule: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _next_level(large: DataFrame, linked: DataFrame, known: DataFrame, sets: DataFrame, rule: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``known`` with this level's links, those with the middle member of each large bucket too, and the next level's buckets (b, id, component)."""
     a, b = rule.differ
     large = scratch.keep(large.select("p", "id", "component").distinct())  # groups, see _counted
@@ -318,26 +342,34 @@ def _next_level(large: DataFrame, linked: DataFrame, known: DataFrame, sets: Dat
     refs = votes.groupBy("g").agg(F.first("reference").alias("reference"))  # and so are those with one reference
     # a group without a voter has the empty reference
     none = F.coalesce(F.col("g"), F.lit(0))
-    group = scratch.keep(large.join(votes.select("p", "g"), "p", "left").select(none.alias("g"), "id", "component").distinct())
-    member = group.join(sets, "id").join(refs, "g", "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<long>")))
+    group = scratch.keep(large.join(_small(votes.select("p", "g")), "p", "left").select(none.alias("g"), "id", "component").distinct())
+    held = group.join(sets, "id").join(_small(refs, 2 + F.size("reference")), "g", "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<long>")))
     added, removed = F.array_except("grams", "reference"), F.array_except("reference", "grams")
-    diff = scratch.keep(member.select("g", "id", "component", "n", added.alias("added"), removed.alias("removed")))
-    na, nr = F.size("added"), F.size("removed")
-    nearest = F.min(F.struct((b * (na + nr) - a * F.col("n")).alias("f"), F.col("id").alias("m"), _own().alias("c")))
-    middle = scratch.keep(diff.groupBy("g").agg(nearest.alias("best"), F.min(na - nr).alias("d")).select("g", "best.m", "best.c", "d"))
-    star = group.join(middle, "g").filter((F.col("id") != F.col("m")) & (_own() != F.col("c"))).select(F.col("id").alias("x"), F.col("m").alias("y")).distinct()
-    tested = scratch.keep(_linked(_possible(star, sketches, rule), sets, rule))
-    known = _connected(known, linked.unionByName(tested), scratch)
+    diff = scratch.keep(held.select("g", "id", "component", "n", added.alias("added"), removed.alias("removed")))
+    na, nr, n = F.size("added"), F.size("removed"), F.col("n")
+    nearest = F.min(F.struct((b * (na + nr) - a * n).alias("f"), F.col("id").alias("m"), _own().alias("c")))
+    middle = _small(scratch.keep(diff.groupBy("g").agg(nearest.alias("best"), F.min(na - nr).alias("d")).select("g", "best.m", "best.c", "d")))
+    centre = diff.join(middle, "g").filter("id = m").groupBy("g").agg(*[F.first(k).alias(f"{k}_m") for k in ("n", "added", "removed")])
+    centre = _small(scratch.keep(centre), 3 + F.size("added_m") + F.size("removed_m"))
+    # what a member and the middle differ in is what their differences to the reference differ in
+    apart = (F.size("added_m") + F.size("removed_m") + na + nr - 2 * F.size(F.array_intersect("added", "added_m")) - 2 * F.size(F.array_intersect("removed", "removed_m")))
+    both = n + F.col("n_m")
+    star = diff.join(middle, "g").filter((F.col("id") != F.col("m")) & (_own() != F.col("c"))).join(centre, "g").filter(b * apart <= a * both)
+    new = linked.unionByName(scratch.keep(star.select(F.col("id").alias("x"), F.col("m").alias("y")).distinct()))
+    if not new.isEmpty():
+        known = _connected(known, new, scratch)
     # the middle itself needs no further test: all others are compared or connected with it
     rows = diff.drop("component").join(middle, "g").filter("id <> m").join(known, "id", "left")
-    most = F.floor(a * (F.col("n") + F.floor(F.col("n") * 100 / rule.percent)) / b).cast("int")  # that any partner may differ by
-    reach = na + nr + F.col("d") <= most
+    most = F.floor(a * (n + F.floor(n * 100 / rule.percent)) / b).cast("int")  # that any partner may differ by
+    lost = F.floor(n * (100 - rule.percent) / 100).cast("int")  # elements of its own that any partner may lack
+    # partners hold n less those at least, so their |A| - |R| is no less than that of such a size
+    reach = na + nr + F.greatest("d", na - nr - lost) <= most
     # without a common added element |D| - most removed ones are common, so a prefix of the others and one more holds one of them
     some = F.slice("removed", 1, F.greatest(F.lit(0), F.least(nr, most - na + 1)))
-    new = F.slice("added", 1, most + 1)  # y lacks at most that many less one
-    keys = F.concat(F.transform(new, lambda e: F.xxhash64("g", F.lit(1), e)),
+    first = F.slice("added", 1, lost + 1)
+    keys = F.concat(F.transform(first, lambda e: F.xxhash64("g", F.lit(1), e)),
                     F.when(reach, F.transform(some, lambda e: F.xxhash64("g", F.lit(2), e))).otherwise(F.array().cast("array<long>")))
-    live = rows.groupBy("g").agg(_parted().alias("parted")).filter("parted").select("g")  # groups whose members are all connected are done
+    live = _small(rows.groupBy("g").agg(_parted().alias("parted")).filter("parted").select("g"))  # groups whose members are all connected are done
     sub = rows.join(live, "g", "left_semi").select(F.explode(F.array_distinct(keys)).alias("b"), "id", "component")
     return known, sub.distinct()
 
@@ -382,8 +414,10 @@ def links(docs: DataFrame, base: DataFrame, classes: DataFrame, rule: Similarity
     none = base.sparkSession.createDataFrame([], "id long, component long")
     known, last, sets = none, none.select(F.col("id").alias("x"), F.col("component").alias("y")), None
     while not buckets.isEmpty():
-        pairs = scratch.keep(_possible(_direct(buckets.filter(F.col("members") <= SMALL)), sketches, rule))
-        large = buckets.filter(F.col("members") > SMALL)
+        most = SMALL if sets is None else PAIRED
+        few = buckets.filter(F.col("members") <= most)
+        pairs = scratch.keep(_possible(_direct(few), sketches, rule) if sets is None else _near(few, sketches, rule))
+        large = buckets.filter(F.col("members") > most)
         if sets is None:  # later levels hold no other documents than this one's large buckets
             ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).union(large.select("id")).distinct()
             sets = _sets(docs, ids, rule, id_col, text_col, scratch)
@@ -391,7 +425,7 @@ def links(docs: DataFrame, base: DataFrame, classes: DataFrame, rule: Similarity
         if large.isEmpty():
             last = linked
             break
-        known, below = _next_level(large, linked, known, sets, sketches, rule, scratch)
+        known, below = _next_level(large, linked, known, sets, rule, scratch)
         buckets = _counted(scratch.keep(below), scratch)
     return known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(last.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
