@@ -122,3 +122,29 @@ def test_chain_of_crowds_is_one_component(spark):
     classes = base.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     got = components(J.links(docs, base, classes, rule, "doc_id", "text", scratch), scratch)
     assert sorted(map(tuple, got.collect())) == [(i, c) for i, _, c in sorted(_want(rows, 1, 80))]
+
+
+def test_texts_that_only_share_a_passage_are_not_compared(spark, monkeypatch):
+    """A part that holds one common gram alone made most long texts with the passage candidates."""
+    rng, asked, sets = random.Random(8), [], J._sets
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(k, " ".join([f"w{rng.randrange(10**6)}" for _ in range(300)] + passage)) for k in range(200)]
+    monkeypatch.setattr(J, "_sets", lambda docs, ids, *more: asked.append(ids.count()) or sets(docs, ids, *more))
+    got = J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), J.Similarity(5, 80)).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got)
+    assert sum(asked) <= 100
+
+
+@pytest.mark.parametrize("paired", [2, 512])
+def test_later_levels_paired_or_divided_equal_brute_force(spark, monkeypatch, paired):
+    monkeypatch.setattr(J, "SMALL", 2)
+    monkeypatch.setattr(J, "PAIRED", paired)
+    rows = _rows(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in J.jaccard_groups(docs, J.Similarity(3, 90)).collect()), key=str) == _want(rows, 3, 90)
+
+
+def test_components_of_stars_end_at_once(spark):
+    scratch = Scratch(spark)
+    assert components(spark.createDataFrame([(k % 3, k) for k in range(3, 30)], "a long, b long"), scratch).count() == 30
+    assert scratch.n == 1
