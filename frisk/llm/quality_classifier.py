@@ -108,8 +108,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # ``most`` rows
 
     def run(batches):
-        for batch in slices(batches, "text"):
-            found = [features(t) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, "text", 4 << 20):
+            found = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64())),
                                               batch.column(2).cast(pa.int64()), batch.column(3).cast(pa.int64())], names=["id", "buckets", "shape", "quality", "toxic"])
     return rows.mapInArrow(run, "id long, buckets array<long>, shape array<double>, quality long, toxic long")
@@ -129,8 +129,8 @@ def evidence(docs: DataFrame, quality: Linear, toxicity: Linear, text_col: str =
     schema = StructType([f for f in docs.schema if f.name != text_col] + [StructField("__q", DoubleType()), StructField("__t", DoubleType())])
 
     def run(batches):
-        for batch in slices(batches, "__text"):
-            found = [features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in slices(batches, "__text", 4 << 20):
+            found = [features(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             new = [pa.array([m.logit(f) for f in found], pa.float64()) for m in (quality, toxicity)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "__q", "__t"])
     return rows.mapInArrow(run, schema)

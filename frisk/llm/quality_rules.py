@@ -135,9 +135,9 @@ def measured(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         spent, hit = [0.0] * len(rules), [0] * len(rules)
-        for batch in slices(batches, "text"):
-            for text in batch.column(0).to_pylist():
-                start = Text(text)
+        for batch in slices(batches, "text", 4 << 20):
+            for text in batch.column(0):
+                start = Text(text.as_py())
                 if counts and _counted(start)[-1]:
                     continue
                 for k, rule in enumerate(rules):
@@ -181,13 +181,17 @@ def apply_rules(docs: DataFrame, order: tuple[Rule, ...], text_col: str = "text"
     schema = StructType([*docs.schema.fields, *extra, StructField("__kept", BooleanType())])
     arrow, at = to_arrow_schema(schema), docs.columns.index(text_col)
 
+    def verdict(text: Text) -> list:
+        if not counts:
+            return [keeps(text, order)]
+        found = _counted(text)
+        return [*found, not found[-1] and keeps(text, order)]
+
     def run(batches):
-        for batch in slices(batches, text_col):
-            texts = [Text(t) for t in batch.column(at).to_pylist()]
-            found = [_counted(t) for t in texts] if counts else []
-            kept = [not failed[-1] and keeps(t, order) for failed, t in zip(found, texts)] if counts else [keeps(t, order) for t in texts]
-            new = [*(pa.array([f[k] for f in found], pa.int64()) for k in range(len(COUNTS))), pa.array([f[-1] for f in found], pa.bool_())] if counts else []
-            new.append(pa.array(kept, pa.bool_()))
+        for batch in slices(batches, text_col, 4 << 20):
+            # one text's words at a time: those of a whole batch take many times the memory of its texts
+            found = [verdict(Text(t.as_py())) for t in batch.column(at)]
+            new = [pa.array([f[k] for f in found], kind) for k, kind in enumerate([pa.int64()] * (len(extra) - 1) + [pa.bool_()] * (2 if counts else 1))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(chain(batch.columns, new), arrow)], schema=arrow)
     return docs.mapInArrow(run, schema)
 

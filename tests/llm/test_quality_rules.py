@@ -1,7 +1,11 @@
 import random
 import re
+from types import SimpleNamespace
+from weakref import WeakSet
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from frisk.llm import quality_rules as Q
 
@@ -75,3 +79,21 @@ def test_few_distinct_words_at_any_length(n):
     assert rejects(Q.Text(" ".join(rng.choices([f"w{k}" for k in range(100)], k=n))))
     prose = rng.choices([f"w{k}" for k in range(2_000)], [1 / (k + 1) for k in range(2_000)], k=n)  # 50,000 words hold fewer than one in 20
     assert not rejects(Q.Text(" ".join(prose)))
+
+
+@pytest.mark.parametrize("counts", [True, False])
+def test_one_text_at_a_time_is_held(monkeypatch, counts):
+    alive, most = WeakSet(), []
+
+    class Watched(Q.Text):
+        def __init__(self, text):
+            super().__init__(text)
+            alive.add(self)
+            most.append(len(alive))
+
+    monkeypatch.setattr(Q, "Text", Watched)
+    docs = SimpleNamespace(columns=["doc_id", "text"], schema=StructType([StructField("doc_id", LongType()), StructField("text", StringType())]),
+                           mapInArrow=lambda run, schema: run)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": [f"a b c{k}" for k in range(199)] + [None]})
+    out = list(Q.apply_rules(docs, Q.RULES, counts=counts)(iter([batch])))
+    assert sum(b.num_rows for b in out) == len(most) == 200 and max(most) <= 2
