@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from frisk.config import DEFAULT, ENTITY_COLUMNS, US, Settings
 from frisk.functions.expr import flag
-from frisk.operators.running import CHUNK, Fold, global_running, hot_keys_and_rows, running, with_chunks
+from frisk.operators.running import BROADCAST_KEYS, CHUNK, Fold, global_running, hot_keys_and_rows, running, with_chunks
 
 # fixed values: entity kind -> transaction column
 KINDS = {"merchant": "merchant_id", "bin": "card_bin", "device": "device_id", "beneficiary": "beneficiary"}
@@ -69,10 +69,12 @@ def entity_rows(outcomes: DataFrame) -> DataFrame:
         "seq", "cust_id", "p.*", "t", "ord", "obs", "con", "inst")
 
 
-def entity_state(rows: DataFrame, s: Settings = DEFAULT, hot: DataFrame | None = None, total: int = 0) -> DataFrame:
+def entity_state(rows: DataFrame, s: Settings = DEFAULT, hot: DataFrame | None = None, total: int = 0, light: bool = False) -> DataFrame:
     """Running statistics of each (kind, key) strictly before each row of ``entity_rows``.
 
-    Only rows of the entities in ``hot`` pay for chunks and carries.  ``total`` (the transactions' rows) above ``_TASK_ROWS`` sets the number of
+    Only rows of the entities in ``hot`` pay for chunks and carries, and where no customer has too many rows for a task (``light``) only for the
+    statistics of the whole entity: a customer's own share of a cut entity is folded uncut, instead of with a carry for every chunk of every
+    (entity, customer).  ``total`` (the transactions' rows) above ``_TASK_ROWS`` sets the number of
     tasks: left to the sizes of the shuffle, a task's rows would follow the input.
     """
     keys = ["kind", "key"]
@@ -80,13 +82,28 @@ def entity_state(rows: DataFrame, s: Settings = DEFAULT, hot: DataFrame | None =
     if hot is None:
         return _entity_folds(rows.repartition(*dealt, *keys), s, False)
     cold = rows.join(hot.select(*keys), keys, "left_anti").repartition(*dealt, *keys)
-    cut = with_chunks(rows, keys, "t", hot).filter(F.col(CHUNK).isNotNull()).repartition(*dealt, *keys, CHUNK)
-    return _entity_folds(cold, s, False).unionByName(_entity_folds(cut, s, True).drop(CHUNK))
+    cut = with_chunks(rows, keys, "t", hot).filter(F.col(CHUNK).isNotNull())
+    if light:
+        # a cut entity has more than a task's rows, or a half of hot_rows after rounding: that bounds the chunks
+        few = 2 * total / min(s.hot_rows, _TASK_ROWS) <= BROADCAST_KEYS
+        own = _own_folds(cut.repartition(*dealt, *keys, "cust_id"), s, False)
+        folded = _all_folds(own.repartition(*dealt, *keys, CHUNK), True, few)
+    else:
+        folded = _entity_folds(cut.repartition(*dealt, *keys, CHUNK), s, True)
+    return _entity_folds(cold, s, False).unionByName(folded.drop(CHUNK))
 
 
 def _entity_folds(r: DataFrame, s: Settings, chunked: bool) -> DataFrame:
-    order = ["t", "ord", "seq"]
     # one shuffle serves both window levels: (kind, key, customer) and (kind, key)
+    return _all_folds(_own_folds(r, s, chunked), chunked)
+
+
+_ORDER = ["t", "ord", "seq"]
+
+
+def _own_folds(r: DataFrame, s: Settings, chunked: bool) -> DataFrame:
+    """What a customer alone did with an entity before each row."""
+    order = _ORDER
     w = weight(F.col("t"), s)
     r = r.withColumns({"w_obs": w * F.col("obs"), "w_bad": w * (F.col("con") + F.col("inst"))})
     mine = ["kind", "key", "cust_id"]
@@ -102,14 +119,18 @@ def _entity_folds(r: DataFrame, s: Settings, chunked: bool) -> DataFrame:
     # units the lift is the largest excess of fraud over observations seen at an outcome
     excess = F.when(F.col("con") == 1, F.col("own_bad") + F.col("w_bad") - F.col("own_obs"))
     r = running(r, mine, order, [Fold("own_lift", "max", excess)], chunked)
-    r = r.withColumn("is_new_cust", F.when((F.col("obs") == 1) & (F.col("own_cnt") == 0), 1))
-    return running(r, ["kind", "key"], order, [
+    return r.withColumn("is_new_cust", F.when((F.col("obs") == 1) & (F.col("own_cnt") == 0), 1))
+
+
+def _all_folds(r: DataFrame, chunked: bool, few: bool = False) -> DataFrame:
+    """What all customers did with an entity before each row."""
+    return running(r, ["kind", "key"], _ORDER, [
         Fold("w_n", "sum", F.col("w_obs")),
         Fold("w_f", "sum", F.col("w_bad")),
         Fold("first_t", "min", F.when(F.col("obs") == 1, F.col("t"))),
         Fold("touch_t", "max", F.col("t")),
         Fold("fanout", "sum", F.col("is_new_cust")),
-    ], chunked)
+    ], chunked, few)
 
 
 def running_prior(outcomes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -128,6 +149,14 @@ def hot_entities(txns: DataFrame, s: Settings = DEFAULT) -> tuple[DataFrame | No
     return hot_keys_and_rows(pairs, ["kind", "key"], "t", min(s.hot_rows, _TASK_ROWS))
 
 
+def _light(txns: DataFrame, hot: DataFrame | None, s: Settings) -> bool:
+    """Whether no customer has more transactions than a task's rows."""
+    if hot is None:
+        return False
+    most = txns.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return most is not None and most <= min(s.hot_rows, _TASK_ROWS)
+
+
 def smoothed(f: Column, n: Column, prior: Column, s: Settings) -> Column:
     return (f + prior * s.prior_strength) / (n + s.prior_strength)
 
@@ -145,7 +174,8 @@ def entity_features(txns: DataFrame, settings: Settings = DEFAULT, confirms: Dat
     if only is not None:
         touched = only.select(F.explode(entity_keys()).alias("p")).select("p.*").distinct()
         rows = rows.join(touched, ["kind", "key"], "left_semi")
-    st = entity_state(rows, s, hot, total).filter(F.col("ord") == 1)
+    # confirms are outcomes of their own, so a customer's rows are not counted by transactions then
+    st = entity_state(rows, s, hot, total, confirms is None and _light(txns, hot, s)).filter(F.col("ord") == 1)
     w = weight(F.col("t"), s)
     zero = F.lit(0.0)
     n, f = F.coalesce(F.col("w_n"), zero) / w, F.coalesce(F.col("w_f"), zero) / w

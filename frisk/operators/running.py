@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
-_BROADCAST_KEYS = 20_000  # a hot-key list beyond this is joined by shuffle instead
+BROADCAST_KEYS = 20_000  # a hot-key list beyond this is joined by shuffle instead
 _LEAST_MARKS = 128
 
 
@@ -96,7 +96,7 @@ def hot_keys_and_rows(df: DataFrame, keys: list[str], t: str, hot_rows: int) ->
     if n == 0:
         return None, rows
     counts = every_key.filter(over)
-    small = F.broadcast(counts) if n <= _BROADCAST_KEYS else counts
+    small = F.broadcast(counts) if n <= BROADCAST_KEYS else counts
     most = max(_LEAST_MARKS, 2 * math.ceil(largest / hot_rows))
     marks = [k / most for k in range(1, most)]
     span = (
@@ -107,7 +107,7 @@ def hot_keys_and_rows(df: DataFrame, keys: list[str], t: str, hot_rows: int) ->
     chunks = F.ceil(F.col("_n") / F.lit(float(hot_rows))).cast("int")
     every = F.transform(F.sequence(F.lit(1), chunks - 1), lambda k: F.get("_q", (k * most / chunks).cast("int") - 1))
     out = span.select(*keys, F.array_distinct(F.when(chunks > 1, every).otherwise(F.array().cast("array<bigint>"))).alias("_cuts"))
-    return F.broadcast(out) if n <= _BROADCAST_KEYS else out, rows
+    return F.broadcast(out) if n <= BROADCAST_KEYS else out, rows
 
 
 def chunk_of(t: Column) -> Column:
@@ -121,8 +121,11 @@ def with_chunks(df: DataFrame, keys: list[str], t: str, hot: DataFrame | None) -
     return df.join(hot, keys, "left").withColumn(CHUNK, chunk_of(F.col(t))).drop("_cuts")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], folds: list[Fold], chunked: bool) -> DataFrame:
-    """Add each fold over the rows of the same key strictly before this row."""
+def running(df: DataFrame, keys: list[str], order: list[str], folds: list[Fold], chunked: bool, few: bool = False) -> DataFrame:
+    """Add each fold over the rows of the same key strictly before this row.
+
+    ``few``: there are so few chunks that their carries are broadcast and the rows stay where they are.
+    """
     part = [*keys, CHUNK] if chunked else keys
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = df.select("*", *[f.over(w).alias(f.name) for f in folds])
@@ -141,7 +144,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], folds: list[Fold],
     same = F.col(CHUNK) == F.col("_k_" + CHUNK)
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col("_k_" + c))
-    joined = out.join(right, same, "left")
+    joined = out.join(F.broadcast(right) if few else right, same, "left")
     names = {f.name for f in folds}
     return joined.select(
         *[c for c in out.columns if c not in names],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from frisk.config import ACTIONS, DEFAULT
 from frisk.functions.expr import rounded
-from frisk.functions.keep import kept
+from frisk.functions.keep import kept, stored
 from frisk.ml.scorers import COEFFICIENTS, fixed_scorer
 from frisk.operators import drift, evidence, graph, labels, metrics, review_queue
 from frisk.operators.decision import customer_alert, reasons, result_reason, rules_only_action
@@ -675,7 +675,8 @@ def narratives(spark, d):
 @query("shipment_risk_mix")
 def shipment_risk_mix(spark, d):
     """The large table end to end: lineitem x orders through features, rules and decision."""
-    rows = feature_rows(shipments_as_account_events(spark, d))
+    # read by a dozen branches: joined once, or each of them would shuffle both tables again
+    rows = feature_rows(stored(shipments_as_account_events(spark, d)))
     c = scored_cases(rows, fixed_scorer, THRESHOLD)
     return metrics.decision_mix(c, ["channel"])
 
